@@ -250,15 +250,16 @@ def marked_bodies(spark, sf):
             cache.isNotNull(), F.coalesce(F.try_variant_get(cache, "$.ttl", "string"), F.lit("5m"))
         )
 
-    rows = cache_plan.marked_parts(_plans(spark, sf))
+    body = cache_plan.marked_bodies(_plans(spark, sf)).select("request_id", "body")
+    part = lambda name: V.field(F.col("body"), name)
     last = lambda a: F.get(a, F.size(a) - 1)
-    target = last(V.as_list(V.field(F.get("items", F.lit(3)), "content")))
-    return rows.select(
+    target = last(V.as_list(V.field(F.get(V.as_list(part("messages")), F.lit(3)), "content")))
+    return body.select(
         "request_id",
         F.when(lifetime(target).isNotNull(), F.try_variant_get(target, "$.type", "string")).alias("prefix_type"),
-        lifetime(last(F.col("tools"))).alias("tool_ttl"),
-        V.kind(F.col("system")).alias("system_kind"),
-        lifetime(last(V.as_list(F.col("system")))).alias("system_ttl"),
+        lifetime(last(V.as_list(part("tools")))).alias("tool_ttl"),
+        V.kind(part("system")).alias("system_kind"),
+        lifetime(last(V.as_list(part("system")))).alias("system_ttl"),
     )
 
 

@@ -364,10 +364,7 @@ def _compress_plain(spark, sf):
 
 
 def _compressed(spark, sf):
-    msgs = ad.chat_messages(spark, sf, coded=True).withColumns(
-        {"content": F.lit(None).cast("variant")}
-    )
-    return compress_plain(msgs)
+    return compress_plain(ad.chat_messages(spark, sf, coded=True))
 
 
 @CATALOG.add(

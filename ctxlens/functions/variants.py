@@ -2,20 +2,29 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+KINDS = {"VOID": "null", "ARRAY": "list", "OBJECT": "object", "STRING": "string"}
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once, however often `body` uses it.
+
+    Expressions that repeat a large sub-expression grow with every level of
+    nesting; a lambda variable keeps them small.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def field(v: Column, name: str) -> Column:
     """Sub-value; SQL NULL where the key is missing, a variant null where it is null."""
     return F.try_variant_get(v, f"$.{name}", "variant")
 
 
-def as_text(v: Column) -> Column:
-    """The string held by a variant, NULL for any other type."""
-    return F.when(kind(v) == "string", F.try_variant_get(v, "$", "string"))
-
-
 def as_list(v: Column) -> Column:
     return F.try_variant_get(v, "$", "array<variant>")
 
@@ -24,23 +33,30 @@ def as_map(v: Column) -> Column:
     return F.try_variant_get(v, "$", "map<string,variant>")
 
 
+def as_struct(v: Column, schema: str) -> Column:
+    """Typed fields of an object; NULL for any other value."""
+    return F.try_variant_get(v, "$", f"struct<{schema}>")
+
+
 def is_object(v: Column) -> Column:
-    return as_map(v).isNotNull()
+    return as_struct(v, "_:variant").isNotNull()
 
 
 def kind(v: Column) -> Column:
-    """missing, null, list, object, string, or other (numbers, booleans).
+    """missing, null, list, object, string, or other (numbers, booleans)."""
+    table = F.create_map(*[F.lit(x) for pair in KINDS.items() for x in pair])
+    return let(
+        F.substring_index(F.schema_of_variant(v), "<", 1),
+        lambda name: F.when(name.isNull(), "missing").otherwise(
+            F.coalesce(F.try_element_at(table, name), F.lit("other"))
+        ),
+    )
 
-    The shape is tested by shallow casts first, so that only scalars reach
-    `schema_of_variant`, which walks the whole value.
-    """
-    return (
-        F.when(v.isNull(), "missing")
-        .when(F.is_variant_null(v), "null")
-        .when(as_list(v).isNotNull(), "list")
-        .when(is_object(v), "object")
-        .when(F.schema_of_variant(v) == "STRING", "string")
-        .otherwise("other")
+
+def as_text(v: Column) -> Column:
+    """The string held by a variant, NULL for any other type."""
+    return let(
+        v, lambda x: F.when(kind(x) == "string", F.try_variant_get(x, "$", "string"))
     )
 
 
@@ -68,11 +84,9 @@ def string_map(v: Column) -> Column:
 
 
 def truthy(v: Column) -> Column:
-    """JSON value that Python would call true."""
-    return (
-        F.when(kind(v).isin("missing", "null"), False)
-        .when(kind(v) == "list", F.size(as_list(v)) > 0)
-        .when(kind(v) == "object", F.size(as_map(v)) > 0)
-        .when(kind(v) == "string", F.try_variant_get(v, "$", "string") != "")
-        .otherwise(~F.try_variant_get(v, "$", "string").isin("0", "false", "0.0"))
+    """JSON value that Python would call true, judged by its text."""
+    empty = ["", "[]", "{}", "0", "0.0", "false"]
+    return let(
+        F.try_variant_get(v, "$", "string"),
+        lambda text: text.isNotNull() & ~text.isin(empty),
     )

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ctxlens import fixed_values as fv
 from ctxlens.functions import variants as V
+from ctxlens.functions.text import strip
 from ctxlens.operators.ordered import last_positions
 
 TOOLS, SYSTEM, MESSAGES = 0, 1, 2
@@ -21,48 +22,38 @@ TOOLS, SYSTEM, MESSAGES = 0, 1, 2
 # --- body form -------------------------------------------------------------------
 
 
-def _cache(v: Column) -> Column:
-    return V.field(v, "cache_control")
+def _owners(blocks: Column, section: int, outer: Column | None = None) -> Column:
+    """Markers found on the objects of one typed list."""
 
-
-def _marker(section: int, idx: Column, sub: Column, cache: Column) -> Column:
-    return F.struct(
-        F.lit(section).alias("section"),
-        idx.cast("int").alias("idx"),
-        sub.cast("int").alias("sub_idx"),
-        F.try_variant_get(cache, "$.ttl", "string").alias("ttl"),
-        V.is_object(cache).alias("is_object"),
-    )
-
-
-def _owners(values: Column, section: int, outer: Column | None = None) -> Column:
-    """Markers found on the objects of one list."""
-
-    def entry(v: Column, i: Column) -> Column:
+    def entry(p: Column, i: Column) -> Column:
         idx, sub = (i, F.lit(0)) if outer is None else (outer, i)
         return F.when(
-            V.is_object(v) & _cache(v).isNotNull(), _marker(section, idx, sub, _cache(v))
+            p.is_object & p.is_marked,
+            F.struct(
+                F.lit(section).alias("section"),
+                idx.cast("int").alias("idx"),
+                sub.cast("int").alias("sub_idx"),
+                p.ttl.alias("ttl"),
+                p.marker_is_object.alias("is_object"),
+            ),
         )
 
-    return F.filter(F.transform(values, entry), lambda m: m.isNotNull())
+    return F.filter(F.transform(blocks, entry), lambda m: m.isNotNull())
 
 
-def existing_markers(tools: Column, system: Column, items: Column) -> Column:
+def existing_markers() -> Column:
     """All markers of a request in processing order: tools, system, messages."""
     none = F.array().cast(
         "array<struct<section:int,idx:int,sub_idx:int,ttl:string,is_object:boolean>>"
     )
     in_messages = F.flatten(
         F.transform(
-            items,
-            lambda m, i: F.coalesce(
-                _owners(V.as_list(V.field(m, "content")), MESSAGES, i), none
-            ),
+            "items", lambda m, i: F.coalesce(_owners(m.parts, MESSAGES, i), none)
         )
     )
     return F.concat(
-        F.coalesce(_owners(tools, TOOLS), none),
-        F.coalesce(_owners(V.as_list(system), SYSTEM), none),
+        F.coalesce(_owners(F.col("tools"), TOOLS), none),
+        F.coalesce(_owners(F.col("system.blocks"), SYSTEM), none),
         F.coalesce(in_messages, none),
     )
 
@@ -75,211 +66,212 @@ def _last_index(values: Column, keep) -> Column:
     return F.array_max(hits)
 
 
-def _tool_target(tools: Column) -> Column:
-    last = F.get(tools, F.size(tools) - 1)
-    return F.when(V.is_object(last) & _cache(last).isNull(), F.size(tools) - 1)
+def _if_unmarked(values: Column, index: Column) -> Column:
+    """The index, unless there is none or its block already has a marker."""
+    return V.let(index, lambda i: F.when(~F.get(values, i).is_marked, i))
 
 
-def _system_target(system: Column) -> Column:
+def _tool_target() -> Column:
+    """The last tool, if it is an object without a marker."""
+    tools = F.col("tools")
+    last = F.size(tools) - 1
+    return F.when(F.get(tools, last).is_object, _if_unmarked(tools, last))
+
+
+def _system_target() -> Column:
     """Block to mark; 0 for a string prompt that becomes a one-block list."""
-    blocks = V.as_list(system)
-    last = _last_index(blocks, V.is_object)
-    text = V.as_text(system)
+    blocks = F.col("system.blocks")
     return F.when(
-        text.isNotNull(), F.when(F.length(F.regexp_replace(text, r"(?U)\s", "")) > 0, 0)
-    ).otherwise(F.when(_cache(F.get(blocks, last)).isNull(), last))
-
-
-def _prefix_message(items: Column) -> Column:
-    head = F.slice(items, 1, F.greatest(F.size(items) - fv.TRAILING_MESSAGES, F.lit(0)))
-    return _last_index(head, V.is_object)
-
-
-def _prefix_block(content: Column) -> Column:
-    """Block to mark in the prefix message; NULL if it cannot take a marker."""
-    blocks = V.as_list(content)
-    last = _last_index(
-        blocks,
-        lambda b: V.is_object(b)
-        & (
-            _cache(b).isNotNull()
-            | F.coalesce(
-                F.try_variant_get(b, "$.type", "string").isin(fv.TAGGABLE_TYPES),
-                F.lit(False),
-            )
-        ),
-    )
-    return F.when(F.coalesce(V.as_text(content), F.lit("")) != "", 0).otherwise(
-        F.when(_cache(F.get(blocks, last)).isNull(), last)
+        F.col("system.kind") == "string",
+        F.when(strip(F.col("system.text")) != "", 0),
+    ).otherwise(_if_unmarked(blocks, _last_index(blocks, lambda b: b.is_object)))
+
+
+def _head() -> Column:
+    kept = F.greatest(F.size("items") - fv.TRAILING_MESSAGES, F.lit(0))
+    return F.slice("items", 1, kept)
+
+
+def _prefix_target() -> Column:
+    """STRUCT<idx, sub> of the block to mark in the prefix's last message, or NULL."""
+
+    def block_of(m: Column) -> Column:
+        last = _last_index(
+            m.parts,
+            lambda p: p.is_object
+            & (p.is_marked | F.coalesce(p.type.isin(fv.TAGGABLE_TYPES), F.lit(False))),
+        )
+        return F.when(
+            m.content_kind == "string", F.when(m.text != "", 0)
+        ).otherwise(_if_unmarked(m.parts, last))
+
+    message = F.get("items", _last_index(_head(), lambda m: m.is_object))
+    return V.let(
+        message, lambda m: F.struct(m.msg_idx.alias("idx"), block_of(m).alias("sub"))
     )
 
 
-def fingerprint(items: Column) -> Column:
+def fingerprint() -> Column:
     """Session id: hash of the opening messages as logged, before any marking."""
 
-    def block_pieces(b: Column) -> Column:
-        text = F.coalesce(V.as_text(V.field(b, "text")), F.lit(""))
+    def block_pieces(p: Column) -> Column:
         return F.when(
-            V.is_object(b),
+            p.is_object,
             F.array(
-                F.coalesce(F.try_variant_get(b, "$.type", "string"), F.lit("")),
-                F.substring(text, 1, fv.FINGERPRINT_BLOCK_CHARS),
+                F.coalesce(p.type, F.lit("")),
+                F.substring(F.coalesce(p.text, F.lit("")), 1, fv.FINGERPRINT_BLOCK_CHARS),
             ),
         ).otherwise(F.array().cast("array<string>"))
 
     def message_pieces(m: Column) -> Column:
-        content = V.field(m, "content")
-        role = F.coalesce(F.try_variant_get(m, "$.role", "string"), F.lit(""))
-        body = (
-            F.when(
-                V.kind(content) == "string",
-                F.array(F.substring(V.as_text(content), 1, fv.FINGERPRINT_CHARS)),
-            )
-            .when(
-                V.kind(content) == "list",
-                F.flatten(
-                    F.transform(
-                        F.slice(V.as_list(content), 1, fv.FINGERPRINT_BLOCKS), block_pieces
-                    )
-                ),
-            )
-            .otherwise(F.array().cast("array<string>"))
-        )
-        return F.when(V.is_object(m), F.concat(F.array(role), body)).otherwise(
-            F.array(F.concat(F.lit("<"), V.kind(m), F.lit(">")))
+        listed = F.flatten(
+            F.transform(F.slice(m.parts, 1, fv.FINGERPRINT_BLOCKS), block_pieces)
         )
+        none = F.array().cast("array<string>")
+        body = F.when(
+            m.content_kind == "string",
+            F.array(F.substring(m.text, 1, fv.FINGERPRINT_CHARS)),
+        ).otherwise(F.coalesce(listed, none))
+        return F.when(
+            m.is_object, F.concat(F.array(F.coalesce(m.role, F.lit(""))), body)
+        ).otherwise(F.array(F.concat(F.lit("<"), m["shape"], F.lit(">"))))
 
     pieces = F.flatten(
-        F.transform(F.slice(items, 1, fv.FINGERPRINT_MESSAGES), message_pieces)
+        F.transform(F.slice("items", 1, fv.FINGERPRINT_MESSAGES), message_pieces)
     )
     return F.substring(F.sha2(F.array_join(pieces, "\x1f"), 256), 1, fv.FINGERPRINT_HEX)
 
 
-def cached_prefix_tokens(items: Column) -> Column:
+def cached_prefix_tokens() -> Column:
     """Characters before the trailing messages, four to a token."""
+    zero = F.lit(0).cast("bigint")
 
-    def block_chars(b: Column) -> Column:
-        text = F.coalesce(F.length(V.as_text(V.field(b, "text"))), F.lit(0))
-        given, content = V.field(b, "input"), V.field(b, "content")
-        extra = F.when(V.truthy(given), V.as_text(given)).otherwise(V.as_text(content))
-        return F.when(
-            V.is_object(b), text + F.coalesce(F.length(extra), F.lit(0))
-        ).otherwise(F.lit(0))
+    def chars(text: Column) -> Column:
+        return F.coalesce(F.length(text).cast("bigint"), zero)
 
     def message_chars(m: Column) -> Column:
-        content = V.field(m, "content")
         listed = F.aggregate(
-            F.transform(V.as_list(content), block_chars),
-            F.lit(0).cast("bigint"),
-            lambda acc, x: acc + x,
+            F.filter(m.parts, lambda p: p.is_object),
+            zero,
+            lambda acc, p: acc + chars(p.text) + chars(p.extra_text),
         )
-        return F.coalesce(
-            F.length(V.as_text(content)).cast("bigint"), listed, F.lit(0).cast("bigint")
+        return F.when(m.content_kind == "string", chars(m.text)).otherwise(
+            F.coalesce(listed, zero)
         )
 
-    head = F.slice(items, 1, F.greatest(F.size(items) - fv.TRAILING_MESSAGES, F.lit(0)))
-    chars = F.aggregate(
-        F.transform(head, message_chars), F.lit(0).cast("bigint"), lambda acc, x: acc + x
-    )
-    return F.floor(chars / fv.CHARS_PER_TOKEN).cast("bigint")
+    total = F.aggregate(_head(), zero, lambda acc, m: acc + message_chars(m))
+    return F.floor(total / fv.CHARS_PER_TOKEN).cast("bigint")
 
 
 def promote_ttls(markers: Column) -> Column:
     """Give every marker at or before the last one-hour marker that lifetime."""
     last = _last_index(markers, lambda m: m.is_object & (m.ttl == fv.LONG_TTL))
-    return F.transform(
-        markers,
-        lambda m, i: F.struct(
-            m.section.alias("section"),
-            m.idx.alias("idx"),
-            m.sub_idx.alias("sub_idx"),
-            F.when(m.is_object & (i <= last), F.lit(fv.LONG_TTL)).otherwise(m.ttl).alias("ttl"),
-            m.is_object.alias("is_object"),
+    return V.let(
+        last,
+        lambda n: F.transform(
+            markers,
+            lambda m, i: F.struct(
+                m.section.alias("section"),
+                m.idx.alias("idx"),
+                m.sub_idx.alias("sub_idx"),
+                F.when(m.is_object & (i <= n), F.lit(fv.LONG_TTL)).otherwise(m.ttl).alias("ttl"),
+                m.is_object.alias("is_object"),
+            ),
         ),
     )
 
 
+def _new(section: int, idx: Column, sub: Column) -> Column:
+    return F.struct(
+        F.lit(section).alias("section"),
+        idx.cast("int").alias("idx"),
+        sub.cast("int").alias("sub_idx"),
+        F.lit(None).cast("string").alias("ttl"),
+        F.lit(True).alias("is_object"),
+    )
+
+
 def plan_requests(reqs: DataFrame) -> DataFrame:
     """requests with their cache plan: `existing`, `breakpoints`, `prefix_end_index`,
-    `session_id`, `cached_tokens_estimate`, `markers` and the marked positions.
+    `session_id`, `cached_tokens_estimate` and the final `markers`.
 
     Surplus markers are cut from the end first. Then the last tool, the system
     prompt and the conversation prefix are marked, each while the budget lasts.
+    What can be marked is found first; the budget then keeps the first of those.
     """
-    tools, system, items = F.col("tools"), F.col("system"), F.col("items")
-    free = F.lit(fv.MAX_MARKERS) - F.col("existing")
-    big_enough = F.size(items) >= fv.MIN_MESSAGES_TO_CACHE
-    none = F.lit(None)
-    new = F.filter(
-        F.array(
-            F.when(F.col("tool_mark").isNotNull(), _new(TOOLS, "tool_mark", F.lit(0))),
-            F.when(F.col("system_mark").isNotNull(), _new(SYSTEM, "system_mark", F.lit(0))),
-            F.when(
-                F.col("prefix_block").isNotNull(),
-                _new(MESSAGES, "prefix_message", F.col("prefix_block")),
+    big_enough = F.size("items") >= fv.MIN_MESSAGES_TO_CACHE
+    wishes = V.let(
+        F.struct(
+            _tool_target().alias("tool"),
+            _system_target().alias("system"),
+            _prefix_target().alias("prefix"),
+        ),
+        lambda t: F.filter(
+            F.array(
+                F.when(t.tool.isNotNull(), _new(TOOLS, t.tool, F.lit(0))),
+                F.when(t.system.isNotNull(), _new(SYSTEM, t.system, F.lit(0))),
+                F.when(t.prefix["sub"].isNotNull(), _new(MESSAGES, t.prefix.idx, t.prefix["sub"])),
             ),
+            lambda m: m.isNotNull(),
         ),
-        lambda m: m.isNotNull(),
     )
-    return (
-        reqs.withColumn("_kept", F.slice(existing_markers(tools, system, items), 1, fv.MAX_MARKERS))
-        .withColumn("existing", F.size("_kept"))
-        .withColumn("n_messages", F.size(items))
-        .withColumn("tool_mark", F.when(big_enough & (free > 0), _tool_target(tools)).otherwise(none))
-        .withColumn("_free", free - F.col("tool_mark").isNotNull().cast("int"))
-        .withColumn(
-            "system_mark",
-            F.when(big_enough & (F.col("_free") > 0), _system_target(system)).otherwise(none),
-        )
-        .withColumn("_free", F.col("_free") - F.col("system_mark").isNotNull().cast("int"))
-        .withColumn(
-            "prefix_message",
-            F.when(big_enough & (F.col("_free") > 0), _prefix_message(items)).otherwise(none),
-        )
-        .withColumn(
-            "prefix_block",
-            _prefix_block(V.field(F.get(items, F.col("prefix_message")), "content")),
-        )
-        .withColumn("_new", new)
-        .withColumn("breakpoints", F.size("_new"))
-        .withColumn(
-            "prefix_end_index",
-            F.when(F.col("prefix_block").isNotNull(), F.col("prefix_message")).otherwise(-1),
-        )
-        .withColumn("session_id", F.when(big_enough, fingerprint(items)))
-        .withColumn(
-            "cached_tokens_estimate",
-            F.when(big_enough, cached_prefix_tokens(items)).otherwise(F.lit(0).cast("bigint")),
-        )
-        .withColumn("markers", promote_ttls(F.array_sort(F.concat("_kept", "_new"))))
-        .drop("_kept", "_new", "_free")
+    placed = V.let(
+        existing_markers(),
+        lambda found: F.struct(
+            F.slice(found, 1, fv.MAX_MARKERS).alias("kept"),
+            F.when(
+                big_enough,
+                F.slice(wishes, F.lit(1), F.greatest(F.lit(fv.MAX_MARKERS) - F.size(found), F.lit(0))),
+            )
+            .otherwise(F.slice(found, 1, 0))
+            .alias("new"),
+        ),
     )
+    fits = reqs.withColumn("_p", placed)
+    prefix = F.filter("_p.new", lambda m: m.section == MESSAGES)
+    return fits.withColumns(
+        {
+            "n_messages": F.size("items"),
+            "existing": F.size("_p.kept"),
+            "breakpoints": F.size("_p.new"),
+            "prefix_end_index": F.coalesce(F.get(prefix, F.lit(0)).idx, F.lit(-1)),
+            "session_id": F.when(big_enough, fingerprint()),
+            "cached_tokens_estimate": F.when(big_enough, cached_prefix_tokens()).otherwise(
+                F.lit(0).cast("bigint")
+            ),
+            "markers": promote_ttls(_sorted(F.concat("_p.kept", "_p.new"))),
+        }
+    ).drop("_p")
 
 
-def _new(section: int, idx: str, sub: Column) -> Column:
-    return F.struct(
-        F.lit(section).alias("section"),
-        F.col(idx).cast("int").alias("idx"),
-        sub.cast("int").alias("sub_idx"),
-        F.lit(None).cast("string").alias("ttl"),
-        F.lit(True).alias("is_object"),
-    )
+def _sorted(markers: Column) -> Column:
+    """Markers in processing order; a system string's marker sits on block 0."""
+    return F.array_sort(markers)
 
 
 def _remarked(v: Column, hit: Column) -> Column:
     """Object with the cache marker the plan gives it, or with none."""
     fresh = F.parse_json(F.lit(fv.MARKER_JSON))
-    own = F.coalesce(_cache(v), fresh)
-    cache = F.when(
-        V.is_object(own) & hit.ttl.isNotNull(),
-        V.with_key(own, "ttl", hit.ttl.cast("variant")),
-    ).otherwise(own)
-    return (
-        F.when(~V.is_object(v), v)
-        .when(hit.isNotNull(), V.with_key(v, "cache_control", cache))
-        .when(_cache(v).isNotNull(), V.without_key(v, "cache_control"))
-        .otherwise(v)
-    )
+
+    def apply(x: Column) -> Column:
+        cache = V.let(
+            F.coalesce(V.field(x.v, "cache_control"), fresh),
+            lambda own: F.when(
+                V.is_object(own) & x.hit.ttl.isNotNull(),
+                V.with_key(own, "ttl", x.hit.ttl.cast("variant")),
+            ).otherwise(own),
+        )
+        return (
+            F.when(x.hit.isNotNull(), V.with_key(x.v, "cache_control", cache))
+            .when(
+                V.field(x.v, "cache_control").isNotNull(), V.without_key(x.v, "cache_control")
+            )
+            .otherwise(x.v)
+        )
+
+    return F.when(
+        V.is_object(v), V.let(F.struct(v.alias("v"), hit.alias("hit")), apply)
+    ).otherwise(v)
 
 
 def _text_block(text: Column) -> Column:
@@ -300,14 +292,14 @@ def _hit(markers: Column, section: int, idx: Column, sub: Column) -> Column:
     )
 
 
-def marked_parts(planned: DataFrame, where: Column | None = None) -> DataFrame:
-    """Planned requests with `tools`, `system` and `items` rewritten to carry the markers.
+def marked_bodies(planned: DataFrame, where: Column | None = None) -> DataFrame:
+    """Planned requests whose `body` carries the planned markers.
 
     Values without a marker to add, drop or promote are passed through as they
-    are, and so are all values of requests that `where` leaves out.
+    are, and so are whole bodies of requests that `where` leaves out.
     """
     chosen = F.lit(True) if where is None else where
-    markers = F.col("markers")
+    markers, body = F.col("markers"), F.col("body")
 
     def blocks(values: Column, section: int, outer: Column | None = None) -> Column:
         def one(v: Column, i: Column) -> Column:
@@ -317,35 +309,49 @@ def marked_parts(planned: DataFrame, where: Column | None = None) -> DataFrame:
         return F.transform(values, one)
 
     def message(m: Column, i: Column) -> Column:
-        content = V.field(m, "content")
-        listed = F.when(
-            V.kind(content) == "string", F.array(_text_block(V.as_text(content)))
-        ).otherwise(V.as_list(content))
-        touched = F.exists(
+        typed = F.get("items", i)
+        planned_here = F.exists(
             markers, lambda k: (k.section == MESSAGES) & (k.idx == i.cast("int"))
-        ) | F.exists(
-            V.as_list(content), lambda b: V.is_object(b) & _cache(b).isNotNull()
         )
+        marked_here = F.exists(typed.parts, lambda p: p.is_object & p.is_marked)
+        listed = F.when(
+            typed.content_kind == "string", F.array(_text_block(typed.text))
+        ).otherwise(V.as_list(V.field(m, "content")))
         return F.when(
-            V.is_object(m) & F.coalesce(touched, F.lit(False)),
+            planned_here | F.coalesce(marked_here, F.lit(False)),
             V.with_key(m, "content", F.to_variant_object(blocks(listed, MESSAGES, i))),
         ).otherwise(m)
 
+    in_system = F.exists(markers, lambda k: k.section == SYSTEM)
     system_list = F.when(
-        V.kind(F.col("system")) == "string",
-        F.when(F.col("system_mark").isNotNull(), F.array(_text_block(V.as_text(F.col("system"))))),
-    ).otherwise(V.as_list(F.col("system")))
-    new_system = F.when(
-        system_list.isNotNull(), F.to_variant_object(blocks(system_list, SYSTEM))
-    ).otherwise(F.col("system"))
-    marked = {
-        "tools": blocks(F.col("tools"), TOOLS),
-        "system": new_system,
-        "items": F.transform("items", message),
+        F.col("system.kind") == "string",
+        F.when(in_system, F.array(_text_block(F.col("system.text")))),
+    ).otherwise(V.as_list(V.field(body, "system")))
+    changed = {
+        "tools": blocks(V.as_list(V.field(body, "tools")), TOOLS),
+        "system": blocks(system_list, SYSTEM),
+        "messages": F.transform(V.as_list(V.field(body, "messages")), message),
     }
-    return planned.withColumns(
-        {name: F.when(chosen, new).otherwise(F.col(name)) for name, new in marked.items()}
+    fresh = F.map_filter(
+        F.create_map(
+            *[
+                x
+                for name, value in changed.items()
+                for x in (F.lit(name), F.to_variant_object(value))
+            ]
+        ),
+        lambda _, v: v.isNotNull(),
+    )
+    kept = V.let(
+        fresh,
+        lambda new: F.to_variant_object(
+            F.map_concat(
+                F.map_filter(V.as_map(body), lambda k, _: ~F.array_contains(F.map_keys(new), k)),
+                new,
+            )
+        ),
     )
+    return planned.withColumn("body", F.when(chosen, kept).otherwise(body))
 
 
 # --- flat forms ------------------------------------------------------------------

@@ -21,80 +21,168 @@ def api_of(endpoint: Column) -> Column:
     return F.coalesce(F.try_element_at(table, endpoint), F.lit("other"))
 
 
+BODY = (
+    "model:variant,stream:variant,tools:variant,functions:variant,"
+    "tool_choice:variant,system:variant,messages:variant,input:variant"
+)
+MESSAGE = "role:string,type:string,content:variant"
+PART = (
+    "type:string,text:string,id:string,tool_use_id:string,name:string,"
+    "input:variant,content:variant,cache_control:variant"
+)
+BLOCK = "type:string,text:string"
+
+
+def _typed_part(p: Column) -> Column:
+    """One part of list content, or one tool or system block, with typed fields."""
+
+    def fields(q: Column) -> Column:
+        kind = V.kind(q.content)
+        return F.struct(
+            q.isNotNull().alias("is_object"),
+            F.when(q.isNull(), V.as_text(p)).alias("bare_text"),
+            q.type.alias("type"),
+            q.text.alias("text"),
+            q.id.alias("tool_id"),
+            q.tool_use_id.alias("tool_use_id"),
+            q.getField("name").alias("tool_name"),
+            V.string_map(q.input).alias("tool_input"),
+            F.when(V.truthy(q.input), V.as_text(q.input))
+            .when(kind == "string", F.try_variant_get(q.content, "$", "string"))
+            .alias("extra_text"),
+            F.when(kind == "string", F.try_variant_get(q.content, "$", "string")).alias(
+                "result_text"
+            ),
+            F.transform(V.as_list(q.content), lambda b: V.as_struct(b, BLOCK)).alias(
+                "result_blocks"
+            ),
+            q.cache_control.isNotNull().alias("is_marked"),
+            V.is_object(q.cache_control).alias("marker_is_object"),
+            F.try_variant_get(q.cache_control, "$.ttl", "string").alias("ttl"),
+        )
+
+    return V.let(V.as_struct(p, PART), fields)
+
+
+def _typed_list(v: Column) -> Column:
+    return F.transform(V.as_list(v), _typed_part)
+
+
+def _joined_text(kind: Column, content: Column, parts: Column, separator: str) -> Column:
+    """String content, or text parts and bare strings joined."""
+    pieces = F.transform(
+        parts,
+        lambda p: F.when(
+            p.is_object & (p.type == "text"), F.coalesce(p.text, F.lit(""))
+        ).otherwise(p.bare_text),
+    )
+    return (
+        F.when(kind == "string", F.try_variant_get(content, "$", "string"))
+        .when(kind == "list", F.array_join(F.filter(pieces, lambda x: x.isNotNull()), separator))
+        .otherwise("")
+    )
+
+
+def _typed_message(m: Column, i: Column) -> Column:
+    def with_parts(s: Column) -> Column:
+        return V.let(
+            F.struct(
+                s.alias("s"),
+                V.kind(s.content).alias("kind"),
+                _typed_list(s.content).alias("parts"),
+            ),
+            lambda x: F.struct(
+                i.cast("int").alias("msg_idx"),
+                x.s.isNotNull().alias("is_object"),
+                F.when(x.s.isNull(), V.kind(m)).otherwise("object").alias("shape"),
+                x.s.type.alias("item_type"),
+                x.s.role.alias("role"),
+                x.kind.alias("content_kind"),
+                _joined_text(x.kind, x.s.content, x.parts, "\n").alias("text"),
+                F.when(x.kind == "list", x.parts).alias("parts"),
+            ),
+        )
+
+    return V.let(V.as_struct(m, MESSAGE), with_parts)
+
+
 def requests(parsed: DataFrame) -> DataFrame:
-    """requests(request_id, ts, endpoint, headers, api, model, tools, system, items, body)."""
-    body = F.col("body")
-    api = api_of(F.col("endpoint"))
-    raw_input = V.field(body, "input")
+    """One row per readable request with its body in typed form.
+
+    requests(request_id, ts, endpoint, headers, api, model, is_stream, tools, system,
+    items, offers_tools, chose_tool, input_kind, body). The variant is taken apart
+    once; policies, cache plans, messages and parts all read the typed columns.
+    """
     default = F.create_map(*[F.lit(x) for kv in fv.DEFAULT_MODEL.items() for x in kv])
-    none = F.array().cast("array<variant>")
+    passed = [c for c in ("ts", "endpoint", "headers") if c in parsed.columns]
     one_user = F.array(
         F.to_variant_object(
-            F.struct(F.lit("user").alias("role"), V.as_text(raw_input).alias("content"))
+            F.struct(F.lit("user").alias("role"), F.col("b.input").alias("content"))
         )
     )
-    items = F.when(
+    listed = F.when(
         F.col("api") == "responses",
-        F.when(V.kind(raw_input) == "string", one_user).otherwise(V.as_list(raw_input)),
-    ).otherwise(V.as_list(V.field(body, "messages")))
-    passed = [c for c in ("ts", "endpoint", "headers") if c in parsed.columns]
-    return (
+        F.when(F.col("input_kind") == "string", one_user).otherwise(
+            V.as_list(F.col("b.input"))
+        ),
+    ).otherwise(V.as_list(F.col("b.messages")))
+    choice = F.col("b.tool_choice")
+    opened = (
         parsed.where(~F.col("corrupt"))
-        .withColumn("api", api)
         .select(
             "request_id",
             *passed,
-            "api",
-            F.coalesce(
-                V.as_text(V.field(body, "model")),
-                F.try_element_at(default, F.col("api")),
-                F.lit(""),
-            ).alias("model"),
-            F.coalesce(
-                F.try_variant_get(body, "$.stream", "boolean"), F.lit(False)
-            ).alias("is_stream"),
-            F.coalesce(V.as_list(V.field(body, "tools")), none).alias("tools"),
-            V.field(body, "system").alias("system"),
-            F.coalesce(items, none).alias("items"),
+            api_of(F.col("endpoint")).alias("api"),
+            V.as_struct(F.col("body"), BODY).alias("b"),
             "body",
         )
+        .withColumn("input_kind", V.kind(F.col("b.input")))
     )
-
-
-def _joined_text(content: Column) -> Column:
-    """String content, or text parts and bare strings joined by line feeds."""
-    pieces = F.transform(
-        V.as_list(content),
-        lambda p: F.when(V.kind(p) == "string", V.as_text(p)).when(
-            V.is_object(p)
-            & (F.try_variant_get(p, "$.type", "string") == "text"),
-            F.coalesce(V.as_text(V.field(p, "text")), F.lit("")),
-        ),
-    )
-    return (
-        F.when(V.kind(content) == "string", V.as_text(content))
-        .when(
-            V.kind(content) == "list",
-            F.array_join(F.filter(pieces, lambda x: x.isNotNull()), "\n"),
-        )
-        .otherwise("")
+    system = F.struct(
+        V.kind(F.col("b.system")).alias("kind"),
+        V.as_text(F.col("b.system")).alias("text"),
+        _typed_list(F.col("b.system")).alias("blocks"),
     )
+    return opened.select(
+        "request_id",
+        *passed,
+        "api",
+        F.coalesce(
+            V.as_text(F.col("b.model")), F.try_element_at(default, F.col("api")), F.lit("")
+        ).alias("model"),
+        F.coalesce(F.try_variant_get("b.stream", "$", "boolean"), F.lit(False)).alias(
+            "is_stream"
+        ),
+        _typed_list(F.col("b.tools")).alias("tools"),
+        system.alias("system"),
+        F.transform(listed, _typed_message).alias("items"),
+        (V.truthy(F.col("b.tools")) | V.truthy(F.col("b.functions"))).alias("offers_tools"),
+        V.let(
+            choice, lambda c: ~V.kind(c).isin("missing", "null") & ~F.coalesce(
+                F.try_variant_get(c, "$", "string") == "none", F.lit(False))
+        ).alias("chose_tool"),
+        "input_kind",
+        "body",
+    ).withColumn("items", F.coalesce("items", F.array().cast(_items_type())))
 
 
-def _system_text(system: Column) -> Column:
-    blocks = F.filter(V.as_list(system), V.is_object)
-    texts = F.transform(
-        blocks, lambda b: F.coalesce(V.as_text(V.field(b, "text")), F.lit(""))
+def _items_type() -> str:
+    block = "struct<type:string,text:string>"
+    part = (
+        "struct<is_object:boolean,bare_text:string,type:string,text:string,tool_id:string,"
+        "tool_use_id:string,tool_name:string,tool_input:map<string,string>,"
+        f"extra_text:string,result_text:string,result_blocks:array<{block}>,"
+        "is_marked:boolean,marker_is_object:boolean,ttl:string>"
     )
-    return F.when(V.kind(system) == "string", V.as_text(system)).when(
-        V.kind(system) == "list", F.array_join(texts, " ")
+    return (
+        "array<struct<msg_idx:int,is_object:boolean,shape:string,item_type:string,"
+        f"role:string,content_kind:string,text:string,parts:array<{part}>>>"
     )
 
 
 def is_skipped_item(m: Column) -> Column:
     """Tool or reasoning item of a responses input."""
-    item_type = F.try_variant_get(m, "$.type", "string")
-    return F.coalesce(item_type.isin(fv.RESPONSES_SKIPPED_TYPES), F.lit(False))
+    return F.coalesce(m.item_type.isin(fv.RESPONSES_SKIPPED_TYPES), F.lit(False))
 
 
 def messages(
@@ -107,113 +195,85 @@ def messages(
     items unless `keep_skipped` keeps them, flagged `is_skipped`; the other items
     keep their index in the input list. `carry` names request columns to repeat.
     """
-    responses = F.col("api") == "responses"
     carried = carry or []
-
-    def entry(m: Column, i: Column) -> Column:
-        return F.struct(
-            i.cast("int").alias("msg_idx"),
-            V.is_object(m).alias("is_object"),
-            (responses & is_skipped_item(m)).alias("is_skipped"),
-            F.coalesce(
-                F.try_variant_get(m, "$.role", "string"),
-                F.when(responses, "user").otherwise(""),
-            ).alias("role"),
-            V.field(m, "content").alias("content"),
-            F.lit(False).alias("detect_only"),
-        )
-
-    listed = F.transform("items", entry)
-    kept = F.when(
-        responses,
-        F.filter(
-            listed,
-            lambda e: e.is_object & (F.lit(keep_skipped) | ~e.is_skipped),
+    passed = [c for c in ("ts",) if c in reqs.columns]
+    responses = F.col("api") == "responses"
+    system_text = F.when(F.col("system.kind") == "string", F.col("system.text")).when(
+        F.col("system.kind") == "list",
+        F.array_join(
+            F.transform(
+                F.filter("system.blocks", lambda b: b.is_object),
+                lambda b: F.coalesce(b.text, F.lit("")),
+            ),
+            " ",
         ),
-    ).otherwise(listed)
-    system_text = _system_text(F.col("system"))
-    system_row = F.struct(
-        F.lit(-1).alias("msg_idx"),
-        F.lit(True).alias("is_object"),
-        F.lit(False).alias("is_skipped"),
-        F.lit("system").alias("role"),
-        F.col("system").alias("content"),
-        F.lit(True).alias("detect_only"),
     )
-    with_system = F.when(
-        (F.col("api") == "messages") & (F.coalesce(system_text, F.lit("")) != ""),
-        F.concat(F.array(system_row), kept),
-    ).otherwise(kept)
-    passed = [c for c in ("ts",) if c in reqs.columns]
-    flat = reqs.select(
-        "request_id", *passed, "api", "model", *carried, "system",
-        F.explode(with_system).alias("m"),
+    opened = reqs.withColumn(
+        "_system", F.when(F.col("api") == "messages", system_text)
     )
-    text = F.when(F.col("m.detect_only"), system_text).otherwise(
-        _joined_text(F.col("m.content"))
+    item = "m"
+    flat = opened.select(
+        "request_id", *passed, "api", "model", *carried, "_system",
+        F.col("system.kind").alias("_system_kind"),
+        F.explode(
+            F.when(
+                F.coalesce("_system", F.lit("")) != "",
+                F.concat(F.array(F.lit(None).cast(_items_type()[6:-1])), "items"),
+            ).otherwise(F.col("items"))
+        ).alias(item),
     )
-    return flat.select(
+    detect = F.col("m").isNull()
+    skipped = responses & is_skipped_item(F.col("m"))
+    rows = flat.select(
         "request_id",
         *passed,
         "api",
         "model",
         *carried,
-        "m.msg_idx",
-        "m.role",
-        "m.is_object",
-        "m.is_skipped",
-        V.kind(F.col("m.content")).alias("content_kind"),
-        text.alias("text"),
-        "m.content",
-        "m.detect_only",
+        F.when(detect, -1).otherwise(F.col("m.msg_idx")).alias("msg_idx"),
+        F.when(detect, "system")
+        .otherwise(F.coalesce("m.role", F.when(responses, "user").otherwise("")))
+        .alias("role"),
+        (detect | F.col("m.is_object")).alias("is_object"),
+        F.coalesce(skipped, F.lit(False)).alias("is_skipped"),
+        F.when(detect, F.col("_system_kind")).otherwise(F.col("m.content_kind")).alias(
+            "content_kind"
+        ),
+        F.when(detect, F.col("_system")).otherwise(F.col("m.text")).alias("text"),
+        "m.parts",
+        detect.alias("detect_only"),
     )
+    kept = F.lit(True) if keep_skipped else ~F.col("is_skipped")
+    return rows.where((F.col("api") != "responses") | (F.col("is_object") & kept))
 
 
 def parts(msgs: DataFrame, carry: list[str] | None = None) -> DataFrame:
     """One row per part of list content, objects only."""
-    carried = carry or []
     p = F.col("p")
-    result = V.field(p, "content")
-    blocks = F.transform(
-        V.as_list(result),
-        lambda b: F.struct(
-            F.try_variant_get(b, "$.type", "string").alias("type"),
-            V.as_text(V.field(b, "text")).alias("text"),
-        ),
-    )
-    cache = V.field(p, "cache_control")
     return (
         msgs.where(~F.col("detect_only") & (F.col("content_kind") == "list"))
         .select(
             "request_id",
-            *carried,
+            *(carry or []),
             "msg_idx",
             "role",
-            F.posexplode(V.as_list(F.col("content"))).alias("part_idx", "p"),
+            F.posexplode("parts").alias("part_idx", "p"),
         )
-        .where(V.is_object(p))
+        .where(p.is_object)
         .select(
             "request_id",
-            *carried,
+            *(carry or []),
             "msg_idx",
             "part_idx",
             position(F.col("msg_idx"), F.col("part_idx")).alias("pos"),
             "role",
-            F.try_variant_get(p, "$.type", "string").alias("type"),
-            V.as_text(V.field(p, "text")).alias("text"),
-            F.try_variant_get(p, "$.id", "string").alias("tool_id"),
-            F.try_variant_get(p, "$.tool_use_id", "string").alias("tool_use_id"),
-            F.try_variant_get(p, "$.name", "string").alias("tool_name"),
-            V.string_map(V.field(p, "input")).alias("tool_input"),
-            V.as_text(result).alias("result_text"),
-            blocks.alias("result_blocks"),
-            F.when(
-                cache.isNotNull(),
-                F.struct(
-                    F.try_variant_get(cache, "$.type", "string").alias("type"),
-                    F.try_variant_get(cache, "$.ttl", "string").alias("ttl"),
-                ),
-            ).alias("cache_control"),
+            *[
+                p[name].alias(name)
+                for name in (
+                    "type", "text", "tool_id", "tool_use_id", "tool_name", "tool_input",
+                    "result_text", "result_blocks", "is_marked", "ttl",
+                )
+            ],
         )
     )
 
@@ -249,25 +309,21 @@ def text_units(
         aware,
         ~((F.col("content_kind") == "string") & F.col("role").isin(fv.TOOL_ROLES)),
     ).otherwise(~F.col("role").isin(fv.UNTOUCHED_ROLES))
-    entries = F.when(
-        F.col("content_kind") == "string",
-        F.array(F.struct(F.lit(-1).alias("part_idx"), F.col("text").alias("text"))),
-    ).otherwise(
-        F.filter(
+    whole = F.array(F.struct(F.lit(-1).alias("part_idx"), F.col("text").alias("text")))
+    if "parts" in msgs.columns:
+        texts = F.filter(
             F.transform(
-                V.as_list(F.col("content")),
+                "parts",
                 lambda p, i: F.struct(
                     i.cast("int").alias("part_idx"),
-                    F.when(
-                        V.is_object(p)
-                        & (F.try_variant_get(p, "$.type", "string") == "text"),
-                        V.as_text(V.field(p, "text")),
-                    ).alias("text"),
+                    F.when(p.is_object & (p.type == "text"), p.text).alias("text"),
                 ),
             ),
             lambda e: e.text.isNotNull(),
         )
-    )
+        entries = F.when(F.col("content_kind") == "string", whole).otherwise(texts)
+    else:
+        entries = F.when(F.col("content_kind") == "string", whole)
     return own.select(
         "request_id",
         "model",

@@ -6,38 +6,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ctxlens import fixed_values as fv
-from ctxlens.functions import variants as V
 from ctxlens.operators.messages import is_skipped_item
 
 
-def has_tools(body: Column) -> Column:
-    """Tools offered, a tool choice made, or tool traffic in the history."""
-    choice = V.field(body, "tool_choice")
-    chosen = ~(
-        V.kind(choice).isin("missing", "null")
-        | F.coalesce(V.as_text(choice) == "none", F.lit(False))
-    )
+def has_tools() -> Column:
+    """Tools offered, a tool choice made, or tool traffic in the history.
 
-    def tool_part(p: Column) -> Column:
-        return F.coalesce(
-            F.try_variant_get(p, "$.type", "string").isin(fv.TOOL_PART_TYPES),
+    Read from the typed columns of `messages.requests`; the history of a responses
+    request is not looked at.
+    """
+    traffic = F.exists(
+        "items",
+        lambda m: F.coalesce(m.role.isin(fv.TOOL_ROLES), F.lit(False))
+        | F.coalesce(
+            F.exists(m.parts, lambda p: F.coalesce(p.type.isin(fv.TOOL_PART_TYPES), F.lit(False))),
             F.lit(False),
-        )
-
-    def tool_message(m: Column) -> Column:
-        role = F.try_variant_get(m, "$.role", "string")
-        return F.coalesce(role.isin(fv.TOOL_ROLES), F.lit(False)) | F.coalesce(
-            F.exists(V.as_list(V.field(m, "content")), tool_part), F.lit(False)
-        )
-
-    history = F.coalesce(
-        F.exists(V.as_list(V.field(body, "messages")), tool_message), F.lit(False)
+        ),
     )
-    return (
-        V.truthy(V.field(body, "tools"))
-        | V.truthy(V.field(body, "functions"))
-        | chosen
-        | history
+    return F.col("offers_tools") | F.col("chose_tool") | (
+        (F.col("api") != "responses") & traffic
     )
 
 
@@ -62,19 +49,16 @@ def policy(
     )
 
 
-def typed_parts(items: Column) -> Column:
+def typed_parts() -> Column:
     """A responses input has an item whose content is not a string.
 
     A missing content counts as the empty string.
     """
-    return F.coalesce(
-        F.exists(
-            items,
-            lambda m: V.is_object(m)
-            & ~is_skipped_item(m)
-            & ~V.kind(V.field(m, "content")).isin("string", "missing"),
-        ),
-        F.lit(False),
+    return (F.col("api") == "responses") & F.exists(
+        "items",
+        lambda m: m.is_object
+        & ~is_skipped_item(m)
+        & ~m.content_kind.isin("string", "missing"),
     )
 
 
@@ -83,10 +67,8 @@ def request_policy(
 ) -> DataFrame:
     """requests with `has_tools`, `has_typed_parts` and `policy`."""
     return (
-        reqs.withColumn("has_tools", has_tools(F.col("body")))
-        .withColumn(
-            "has_typed_parts", (F.col("api") == "responses") & typed_parts(F.col("items"))
-        )
+        reqs.withColumn("has_tools", has_tools())
+        .withColumn("has_typed_parts", typed_parts())
         .withColumn(
             "policy",
             policy(

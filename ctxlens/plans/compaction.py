@@ -209,101 +209,95 @@ class Compaction:
 
         Only changed texts are gathered, per request: no more than one body holds.
         """
-        in_units = self.units.where(F.col("new_text") != F.col("text")).select(
-            "request_id", _slot("msg_idx", "part_idx", F.lit(-1)), "new_text"
+        changed = F.col("new_text") != F.col("text")
+        in_units = self.units.where(changed).select(
+            "request_id", "msg_idx", "part_idx", F.lit(-1).alias("sub_idx"), "new_text"
         )
-        in_results = self.results.where(F.col("new_text") != F.col("text")).select(
-            "request_id", _slot("msg_idx", "part_idx", F.col("sub_idx")), "new_text"
+        in_results = self.results.where(changed).select(
+            "request_id", "msg_idx", "part_idx", "sub_idx", "new_text"
         )
-        changes = (
+        edits = (
             in_units.unionByName(in_results)
             .groupBy("request_id")
-            .agg(F.map_from_entries(F.collect_list(F.struct("slot", "new_text"))).alias("changes"))
+            .agg(
+                F.collect_list(F.struct("msg_idx", "part_idx", "sub_idx", "new_text")).alias(
+                    "edits"
+                )
+            )
         )
-        body = self.requests.join(changes, "request_id", "left").withColumn(
-            "new_items",
-            F.when(F.col("changes").isNull(), F.col("items")).otherwise(
-                F.transform("items", _rewritten_message)
-            ),
+        return self.requests.join(edits, "request_id", "left").select(
+            "request_id",
+            F.when(F.col("edits").isNull(), F.col("body")).otherwise(_edited_body()).alias("body"),
         )
-        return body.select("request_id", _with_parts(body).alias("body"))
 
 
-def _slot(msg: str, part: str, sub: Column) -> Column:
-    return F.concat_ws("/", F.col(msg), F.col(part), sub).alias("slot")
+def _own(edits: Column, name: str, index: Column | int) -> Column:
+    """Edits that concern one message, part or block."""
+    wanted = F.lit(index) if isinstance(index, int) else index.cast("int")
+    return F.filter(edits, lambda e: e[name] == wanted)
 
 
-def _changed(msg: Column, part, sub) -> Column:
-    key = F.concat_ws(
-        "/",
-        msg.cast("int").cast("string"),
-        F.lit(part).cast("string") if isinstance(part, int) else part.cast("int").cast("string"),
-        F.lit(sub).cast("string") if isinstance(sub, int) else sub.cast("int").cast("string"),
+def _new_text(edits: Column) -> Column:
+    return F.get(edits, F.lit(0)).new_text
+
+
+def _with_text(v: Column, key: str, edits: Column) -> Column:
+    """Object with its text put in place of the old one, if there is an edit for it."""
+    return V.let(
+        _new_text(edits),
+        lambda text: F.when(text.isNull(), v).otherwise(
+            V.with_key(v, key, text.cast("variant"))
+        ),
     )
-    return F.try_element_at(F.col("changes"), key)
 
 
-def _rewritten_message(m: Column, i: Column) -> Column:
-    """Message with its changed texts put back at their positions."""
-    content = V.field(m, "content")
+def _edited_part(p: Column, edits: Column) -> Column:
+    """Part with its own text, its string result or blocks of its result replaced."""
+    key = F.try_variant_get(p, "$.type", "string")
+    blocks = F.transform(
+        V.as_list(V.field(p, "content")),
+        lambda b, k: _with_text(b, "text", _own(edits, "sub_idx", k)),
+    )
+    whole = _own(edits, "sub_idx", -1)
+    return (
+        F.when(F.size(edits) == 0, p)
+        .when(key == "text", _with_text(p, "text", whole))
+        .when(F.size(whole) > 0, _with_text(p, "content", whole))
+        .otherwise(V.with_key(p, "content", F.to_variant_object(blocks)))
+    )
 
-    def block(b: Column, part: Column, sub: Column) -> Column:
-        text = _changed(i, part, sub)
-        return F.when(text.isNotNull(), V.with_key(b, "text", text.cast("variant"))).otherwise(b)
 
-    def one_part(p: Column, j: Column) -> Column:
-        own = _changed(i, j, -1)
-        is_text = F.coalesce(F.try_variant_get(p, "$.type", "string") == "text", F.lit(False))
-        nested = F.transform(
-            V.as_list(V.field(p, "content")), lambda b, k: block(b, j, k)
+def _edited_message(m: Column, i: Column) -> Column:
+    """Message with its changed texts put back at their positions."""
+
+    def edit(own: Column) -> Column:
+        listed = F.transform(
+            V.as_list(V.field(m, "content")),
+            lambda p, j: V.let(_own(own, "part_idx", j), lambda e: _edited_part(p, e)),
         )
         return (
-            F.when(~V.is_object(p), p)
-            .when(own.isNotNull() & is_text, V.with_key(p, "text", own.cast("variant")))
-            .when(own.isNotNull(), V.with_key(p, "content", own.cast("variant")))
-            .when(
-                F.exists(F.map_keys("changes"), lambda s: s.startswith(
-                    F.concat_ws("/", i.cast("int").cast("string"), j.cast("int").cast("string"), F.lit("")))),
-                V.with_key(p, "content", F.to_variant_object(nested)),
-            )
-            .otherwise(p)
+            F.when(F.size(own) == 0, m)
+            .when(F.get(own, F.lit(0)).part_idx == -1, _with_text(m, "content", own))
+            .otherwise(V.with_key(m, "content", F.to_variant_object(listed)))
         )
 
-    whole = _changed(i, -1, -1)
-    listed = F.to_variant_object(F.transform(V.as_list(content), one_part))
-    return (
-        F.when(~V.is_object(m), m)
-        .when(
-            whole.isNotNull() & (V.kind(content) == "string"),
-            V.with_key(m, "content", whole.cast("variant")),
-        )
-        .when(V.kind(content) == "list", V.with_key(m, "content", listed))
-        .otherwise(m)
-    )
+    return V.let(_own(F.col("edits"), "msg_idx", i), edit)
 
 
-def _with_parts(df: DataFrame) -> Column:
-    """Body with rewritten message list, and tools and system where they were marked."""
+def _edited_body() -> Column:
+    """Body with the edits in its message list, or in its input list or text."""
     body = F.col("body")
-    items = F.to_variant_object(F.col("new_items"))
-    text_input = V.kind(V.field(body, "input")) == "string"
-    first = V.field(F.get("new_items", F.lit(0)), "content")
-    listed = F.when(
-        F.col("api") == "responses",
-        V.with_key(body, "input", F.when(text_input, first).otherwise(items)),
-    ).otherwise(V.with_key(body, "messages", items))
-    has_list = V.field(body, "messages").isNotNull() | V.field(body, "input").isNotNull()
-    full = F.when(has_list, listed).otherwise(body)
-    if "markers" not in df.columns:
-        return full
-    tools = F.when(
-        V.kind(V.field(body, "tools")) == "list",
-        V.with_key(full, "tools", F.to_variant_object(F.col("tools"))),
-    ).otherwise(full)
-    return F.when(
-        F.col("system").isNotNull() & V.truthy(F.col("system")),
-        V.with_key(tools, "system", F.col("system")),
-    ).otherwise(tools)
+
+    def listed(key: str) -> Column:
+        return F.to_variant_object(
+            F.transform(V.as_list(V.field(body, key)), _edited_message)
+        )
+
+    return (
+        F.when(F.col("api") != "responses", V.with_key(body, "messages", listed("messages")))
+        .when(F.col("input_kind") == "string", _with_text(body, "input", F.col("edits")))
+        .otherwise(V.with_key(body, "input", listed("input")))
+    )
 
 
 def compact(parsed: DataFrame, options: Options = Options()) -> Compaction:
@@ -324,13 +318,13 @@ def compact(parsed: DataFrame, options: Options = Options()) -> Compaction:
         "prefix_end_index", F.when(cached, F.col("prefix_end_index")).otherwise(-1)
     )
     skipped = messages.is_skipped_item
-    items = F.filter("items", V.is_object)
+    items = F.filter("items", lambda m: m.is_object)
     responses = F.col("api") == "responses"
     n_before = F.size(F.filter(items, lambda m: ~skipped(m)))
     n_after = F.size(
         F.filter(
             items,
-            lambda m: V.field(m, "content").isNotNull()
+            lambda m: (m.content_kind != "missing")
             | ((F.col("policy") != "none") & ~skipped(m)),
         )
     )
@@ -362,4 +356,4 @@ def compact(parsed: DataFrame, options: Options = Options()) -> Compaction:
     results = reduced_results(part_rows, stale, options).withColumn(
         "new_text", F.when(guard, F.col("text")).otherwise(F.col("new_text"))
     )
-    return Compaction(cache_plan.marked_parts(requests, cached), spliced, block_rows, results)
+    return Compaction(cache_plan.marked_bodies(requests, cached), spliced, block_rows, results)
