@@ -25,7 +25,6 @@ def _imports_of(source: str) -> list[tuple[str, int]]:
     return plain + named
 
 
-@F.pandas_udf(IMPORTS)
 def _import_lists(sources: pd.Series) -> pd.Series:
     return sources.map(
         lambda s: [{"module": m, "level": lv} for m, lv in _imports_of(s or "")]
@@ -44,8 +43,9 @@ def resolved_module(path: Column, module: Column, level: Column) -> Column:
 
 def imports(code_files: DataFrame) -> DataFrame:
     """Distinct (repo, src, module) named by import statements; unreadable code has none."""
+    listed = F.pandas_udf(_import_lists, IMPORTS)
     found = code_files.select(
-        "repo", F.col("path").alias("src"), F.explode(_import_lists("content")).alias("i")
+        "repo", F.col("path").alias("src"), F.explode(listed("content")).alias("i")
     )
     return found.select(
         "repo", "src",

@@ -104,7 +104,6 @@ def keyword_scores(summary_rows: DataFrame, queries: Sequence[Query]) -> DataFra
     return out
 
 
-@F.arrow_udf("double")
 def _cosine(vectors: pa.Array, query: pa.Array) -> pa.Array:
     """Cosine of each vector with the query vector of its row, in double."""
 
@@ -136,14 +135,16 @@ def cosine(a: Column, b: Column) -> Column:
 def cosine_scores(vectors: DataFrame, query_vector: Column, size: int | None = None) -> DataFrame:
     """(path, score) of every vector for one query vector, negatives clipped to 0.
 
-    `query_vector` is a literal or a scalar subquery. With `size`, the vectors
-    are known to have that many values and are compared by Arrow batches.
+    `query_vector` is a literal or a scalar subquery. With `size`, vectors of that
+    many values are compared in Arrow batches and malformed ones are left out.
     """
     if size is None:
-        score = cosine(F.col("embedding"), query_vector)
+        vectors = vectors.withColumn("_query", query_vector)
+        score = cosine(F.col("embedding"), F.col("_query"))
     else:
         whole = (F.size("embedding") == size) & F.forall("embedding", lambda x: x.isNotNull())
-        score = F.when(whole, _cosine("embedding", query_vector))
+        vectors = vectors.where(whole)
+        score = F.arrow_udf(_cosine, "double")("embedding", query_vector)
     return vectors.select("path", F.greatest(F.lit(0.0), score).alias("score"))
 
 

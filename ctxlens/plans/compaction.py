@@ -19,6 +19,7 @@ from ctxlens.functions.tokens import Counter, heuristic_tokens
 from ctxlens.operators import active_files as act
 from ctxlens.operators import accounting, cache_plan, messages, policy, tool_reads
 from ctxlens.operators.skeletons import skeletons
+from ctxlens.runtime import stage
 
 UNIT = act.UNIT
 
@@ -164,6 +165,7 @@ class Compaction:
     units: DataFrame
     blocks: DataFrame
     results: DataFrame
+    bodies: DataFrame
 
     def block_counts(self) -> DataFrame:
         """total_blocks and skeletonized_blocks per request, result texts included."""
@@ -225,7 +227,10 @@ class Compaction:
                 )
             )
         )
-        return self.requests.join(edits, "request_id", "left").select(
+        full = cache_plan.marked_bodies(
+            self.requests.join(self.bodies, "request_id"), F.col("is_planned")
+        )
+        return full.join(edits, "request_id", "left").select(
             "request_id",
             F.when(F.col("edits").isNull(), F.col("body")).otherwise(_edited_body()).alias("body"),
         )
@@ -307,6 +312,10 @@ def compact(parsed: DataFrame, options: Options = Options()) -> Compaction:
     planned prefix keep their text, so that it stays the same on the next turn.
     Policy and prefix end are computed on the request row and carried along when
     messages are taken apart, so they cost no join.
+
+    The typed requests are written once to the shared checkpoint folder: JSON is
+    taken apart in one pass, and each operator then reads only the columns it needs.
+    Rewritten bodies, if asked for, are made from the log itself.
     """
     reqs = policy.request_policy(
         messages.requests(parsed), options.passthrough, options.compress_with_tools
@@ -328,9 +337,15 @@ def compact(parsed: DataFrame, options: Options = Options()) -> Compaction:
             | ((F.col("policy") != "none") & ~skipped(m)),
         )
     )
-    requests = planned.withColumn(
-        "n_counted", F.when(responses, n_before).otherwise(F.size(items))
-    ).withColumn("n_sent", F.when(responses, n_after).otherwise(F.size(items)))
+    no_markers = F.slice("markers", 1, 0)
+    requests = stage(
+        planned.withColumn("n_counted", F.when(responses, n_before).otherwise(F.size(items)))
+        .withColumn("n_sent", F.when(responses, n_after).otherwise(F.size(items)))
+        .withColumn("is_planned", cached)
+        .withColumn("markers", F.when(cached, F.col("markers")).otherwise(no_markers))
+        .drop("body", "headers"),
+        "requests",
+    )
 
     carried = ["policy", "prefix_end_index"]
     msgs = messages.messages(requests, carry=carried, keep_skipped=True)
@@ -356,4 +371,6 @@ def compact(parsed: DataFrame, options: Options = Options()) -> Compaction:
     results = reduced_results(part_rows, stale, options).withColumn(
         "new_text", F.when(guard, F.col("text")).otherwise(F.col("new_text"))
     )
-    return Compaction(cache_plan.marked_bodies(requests, cached), spliced, block_rows, results)
+    return Compaction(
+        requests, spliced, block_rows, results, parsed.select("request_id", "body")
+    )
