@@ -114,14 +114,14 @@ def cost_by_model(spark, sf):
       SELECT model, request_id % 3 AS part, sum(original_tokens) AS o, sum(compressed_tokens) AS c,
              grouping(model) * 2 + grouping(request_id % 3) AS level
       FROM costs GROUP BY ROLLUP (model, request_id % 3))
-    SELECT model, part, CAST(o AS BIGINT) AS original_tokens, CAST(c AS BIGINT) AS compressed_tokens,
+    SELECT model, CAST(part AS VARCHAR) AS part, CAST(o AS BIGINT) AS original_tokens, CAST(c AS BIGINT) AS compressed_tokens,
     CAST(level AS BIGINT) AS level, CAST(o - c AS BIGINT) AS tokens_saved,
     round(1.0 - CAST(c AS DOUBLE) / o, 6) AS compression_ratio FROM levels"""
 )
 def savings_rollup(spark, sf):
     df = _costs(spark, sf).withColumn("part", F.col("request_id") % 3)
-    return accounting.savings_rollup(df, "model", "part").withColumn(
-        "compression_ratio", F.round("compression_ratio", 6)
+    return accounting.savings_rollup(df, "model", "part").withColumns(
+        {"part": F.col("part").cast("string"), "compression_ratio": F.round("compression_ratio", 6)}
     )
 
 
