@@ -13,6 +13,8 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ctxlens.functions.once import once
+
 PY_CODE = "def step_{t}(x):\n    y = x + {c}\n    z = y * 2\n    return z\n"
 PY_SKELETON = "{header}\ndef step_{t}(x):\n    ..."
 JS_CODE = "function run{t}(a) {\n  const b = a + {c};\n  return b;\n}\n"
@@ -110,8 +112,7 @@ def message_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _json(text: Column) -> Column:
     """A JSON string literal."""
-    listed = F.to_json(F.array(text))
-    return F.substring(listed, F.lit(2), F.length(listed) - 2)
+    return F.regexp_extract(F.to_json(F.array(text)), r"(?s)^\[(.*)\]$", 1)
 
 
 def request_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,11 +123,14 @@ def request_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     c, t = F.col("conv_id"), F.col("turn")
     h = holes()
-    code = _json(fill(PY_CODE, **h))
-    coded = _json(fill(CODED, **h))
+    quoted = table(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", _json(F.col("text")).alias("text_json"),
+        _json(fill(PY_CODE, **h)).alias("code_json"), _json(fill(CODED, **h)).alias("coded_json"),
+    )
+    text, code, coded = F.col("text_json"), F.col("code_json"), F.col("coded_json")
     path = F.concat(F.lit('"lib/f'), (c % 3).cast("string"), F.lit('.py"'))
     with_tools = F.concat(
-        F.lit('[{"role":"user","content":'), _json(F.col("text")),
+        F.lit('[{"role":"user","content":'), text,
         F.lit('},{"role":"assistant","content":[{"type":"text","text":"Reading"},'
               '{"type":"tool_use","id":"t1","name":"Read","input":{"file_path":'), path,
         F.lit('}}]},{"role":"user","content":[{"type":"tool_result","tool_use_id":"t1","content":'),
@@ -138,7 +142,7 @@ def request_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit('}]}]},{"role":"user","content":'), coded, F.lit("}]"),
     )
     plain = F.concat(
-        F.lit('[{"role":"user","content":'), _json(F.col("text")),
+        F.lit('[{"role":"user","content":'), text,
         F.lit('},{"role":"assistant","content":"Working on it"},'
               '{"role":"user","content":"go on"},{"role":"assistant","content":'), coded,
         F.lit('},{"role":"user","content":"ok"},{"role":"user","content":'), coded, F.lit("}]"),
@@ -148,8 +152,8 @@ def request_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit('},{"type":"function_call","name":"f","arguments":"{}","call_id":"1"},'
               '{"type":"function_call_output","call_id":"1","output":"done"},'
               '{"role":"user","content":'),
-        F.when(c % 7 == 3, F.concat(F.lit('[{"type":"input_text","text":'), _json(F.col("text")), F.lit("}]")))
-        .otherwise(_json(F.col("text"))),
+        F.when(c % 7 == 3, F.concat(F.lit('[{"type":"input_text","text":'), text, F.lit("}]")))
+        .otherwise(text),
         F.lit("}]"),
     )
     system = (
@@ -192,12 +196,12 @@ def request_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("anthropic-beta"), F.concat(F.lit("b"), t.cast("string")),
         F.lit("chatgpt-account-id"), F.when(c % 2 == 1, c.cast("string")).otherwise(""),
     )
-    return table(spark, sf_dir, "conversations").select(
+    return quoted.select(
         F.concat_ws("-", c, t).alias("request_id"),
         F.timestamp_seconds(F.lit(1_700_000_000) + c * 600 + t * 60).alias("ts"),
         endpoint.alias("endpoint"),
         headers.alias("headers"),
-        body.alias("body"),
+        once(body).alias("body"),
     )
 
 

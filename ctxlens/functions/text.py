@@ -33,6 +33,7 @@ INLINE_ANNOTATION = (
     rf"(?md)^(?:#|//){_SP}*(?:File|file|MODULE|module):{_SP}*({_NS}+)"
 )
 LINE_BREAK = r"\r\n|[\n\r\x0B\f\x1c-\x1e\x85\u2028\u2029]"
+ODD_BREAK = r"[\r\x0B\f\x1c-\x1e\x85\u2028\u2029]"
 BLANKS = (
     " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680"
     + "".join(chr(c) for c in range(0x2000, 0x200B))
@@ -154,45 +155,41 @@ def code_blocks(text: Column) -> Column:
 def splice_blocks(text: Column, replacements: Column) -> Column:
     """Put new code into a text's blocks.
 
-    `replacements` is MAP<INT block_idx, STRING code>; blocks without an entry
-    stay as they are. The text is cut at its blocks and rebuilt by position, so
-    equal code in another block or in prose is never touched.
+    `replacements` is MAP<INT block_idx, STRUCT<STRING code, INT old_chars>>; blocks
+    without an entry stay as they are. The text is cut at its blocks and rebuilt by
+    position, so equal code in another block or in prose is never touched.
     """
     blocks = F.regexp_extract_all(text, F.lit(CODE_BLOCK), F.lit(0))
     gaps = F.split(text, CODE_BLOCK, -1)
 
     def rebuilt(block: Column, idx: Column) -> Column:
-        new_code = F.try_element_at(replacements, idx.cast("int"))
-        old_code = F.regexp_extract(block, CODE_BLOCK, 5)
-        head = F.length(block) - F.length(old_code) - 3
-        return F.when(new_code.isNull(), block).otherwise(
-            F.concat(
-                F.substring(block, F.lit(1), head), new_code, F.lit("```")
-            )
+        new = F.try_element_at(replacements, idx.cast("int"))
+        head = F.length(block) - new.old_chars - 3
+        return F.when(new.isNull(), block).otherwise(
+            F.concat(F.substring(block, F.lit(1), head), new.code, F.lit("```"))
         )
 
     pieces = F.transform(
-        gaps,
-        lambda gap, i: F.concat(
-            gap,
-            F.coalesce(rebuilt(F.get(blocks, i), i), F.lit("")),
+        F.arrays_zip(gaps.alias("gap"), blocks.alias("block")),
+        lambda x, i: F.concat(
+            x.gap, F.coalesce(rebuilt(x.block, i), F.lit(""))
         ),
     )
-    return F.when(replacements.isNull(), text).otherwise(
-        F.array_join(pieces, "")
-    )
-
-
-def lines(text: Column) -> Column:
-    return F.split(text, LINE_BREAK, -1)
+    return F.when(replacements.isNull(), text).otherwise(F.array_join(pieces, ""))
 
 
 def file_summary(content: Column) -> Column:
-    """First lines of a file, blanks dropped, joined by one space; '' if none."""
+    """First lines of a file, blanks dropped, joined by one space; '' if none.
+
+    Line breaks other than a line feed are rare, so they are looked for once and
+    replaced only where they occur; the rest is cut at a plain character.
+    """
     head = F.substring(content, 1, 2 * fv.SUMMARY_CHARS)
-    unix = F.regexp_replace(head, r"\r\n?", "\n")
-    top = F.slice(lines(F.substring(unix, 1, fv.SUMMARY_CHARS)), 1, fv.SUMMARY_LINES)
-    stripped = F.transform(top, strip)
+    unix = F.when(
+        F.regexp_like(head, F.lit(ODD_BREAK)), F.regexp_replace(head, LINE_BREAK, "\n")
+    ).otherwise(head)
+    pieces = F.split(F.substring(unix, 1, fv.SUMMARY_CHARS), "\n", fv.SUMMARY_LINES + 1)
+    stripped = F.transform(F.slice(pieces, 1, fv.SUMMARY_LINES), strip)
     return F.array_join(F.filter(stripped, lambda x: x != ""), " ")
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ctxlens import fixed_values as fv
+from ctxlens.functions.once import once_if
 from ctxlens.functions.text import base_name, file_key, file_summary, query_words
 from ctxlens.operators.imports import neighbourhood
 
@@ -56,9 +57,8 @@ def recency(
 
 def summaries(code_files: DataFrame) -> DataFrame:
     """(repo, path, summary); files with an empty summary are left out."""
-    return code_files.select(
-        "repo", "path", file_summary(F.col("content")).alias("summary")
-    ).where(F.col("summary") != "")
+    summary = once_if(file_summary(F.col("content")), lambda s: s != "")
+    return code_files.select("repo", "path", summary.alias("summary"))
 
 
 def keyword_score(haystack: Column, words: Column) -> Column:

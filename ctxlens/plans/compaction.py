@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ctxlens import fixed_values as fv
 from ctxlens.functions import variants as V
+from ctxlens.functions.once import once
 from ctxlens.functions.text import language_of, splice_blocks, strip
 from ctxlens.functions.tokens import Counter, heuristic_tokens
 from ctxlens.operators import active_files as act
@@ -78,15 +79,20 @@ def spliced_units(units: DataFrame, block_rows: DataFrame) -> DataFrame:
         .agg(
             F.map_from_entries(
                 F.collect_list(
-                    F.struct("block_idx", F.concat("skeleton", F.lit("\n")))
+                    F.struct(
+                        "block_idx",
+                        F.struct(
+                            F.concat("skeleton", F.lit("\n")).alias("code"),
+                            F.col("code_chars").alias("old_chars"),
+                        ),
+                    )
                 )
             ).alias("_new_code")
         )
     )
-    return units.join(replaced, UNIT, "left").withColumn(
-        "new_text",
-        splice_blocks(F.col("text"), F.col("_new_code")),
-    ).drop("_new_code")
+    joined = units.join(replaced, UNIT, "left")
+    new_text = once(splice_blocks(F.col("text"), F.col("_new_code")))
+    return joined.select(*units.columns, new_text.alias("new_text"))
 
 
 def compress_plain(

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ctxlens.functions import variants as V
+from ctxlens.functions.once import once
 
 LOG_SCHEMA = (
     "request_id STRING, ts TIMESTAMP, endpoint STRING, "
@@ -44,7 +45,7 @@ def parse_bodies(log: DataFrame, raw: str = "body") -> DataFrame:
         *kept,
         F.col(raw).alias("raw_body"),
         unread.alias("_unread"),
-        F.try_parse_json(text).alias("body"),
+        once(F.try_parse_json(text)).alias("body"),
     )
     bad = F.col("_unread") | ~F.coalesce(V.is_object(F.col("body")), F.lit(False))
     return parsed.select(
