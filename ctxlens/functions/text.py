@@ -22,6 +22,7 @@ PATH_REFERENCE = (
     + "|".join(e.lstrip(".") for e in fv.CODE_EXTENSIONS)
     + rf"))(?:[{_S}`\"'\),:;]|$)"
 )
+ANY_EXTENSION = r"\.(?:" + "|".join(e.lstrip(".") for e in fv.CODE_EXTENSIONS) + ")"
 HEADING_REFERENCE = rf"(?iu)#+{_SP}*(?:File|Module|Script):{_SP}*({_NS}+)"
 CODE_BLOCK = (
     rf"(?s)(?:(?:#|//){_SP}*(?:File|file|MODULE|module):{_SP}*({_NS}+)\n|"
@@ -78,11 +79,18 @@ def without_code_blocks(text: Column) -> Column:
 
 
 def path_references(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(PATH_REFERENCE), F.lit(1))
+    """Paths in a text; texts without a dot and extension skip the costly search."""
+    return F.when(
+        F.regexp_like(text, F.lit(ANY_EXTENSION)),
+        F.regexp_extract_all(text, F.lit(PATH_REFERENCE), F.lit(1)),
+    ).otherwise(F.array().cast("array<string>"))
 
 
 def heading_references(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(HEADING_REFERENCE), F.lit(1))
+    return F.when(
+        text.contains("#"),
+        F.regexp_extract_all(text, F.lit(HEADING_REFERENCE), F.lit(1)),
+    ).otherwise(F.array().cast("array<string>"))
 
 
 def referenced_files(text: Column) -> Column:
