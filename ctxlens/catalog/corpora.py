@@ -83,8 +83,7 @@ def code_corpus(spark, sf):
     where = f"{ensure_checkpoint_dir(spark)}/corpus-{uuid.uuid4().hex}"
     docs = ad.table(spark, sf, "documents").select("text")
     docs.write.option("maxRecordsPerFile", 1000).text(where)
-    base = where if "://" in where or where.startswith("file:") else where
-    files = read_code(spark, base, "demo", "*.txt")
+    files = read_code(spark, where, "demo", "part-*.txt")
     return files.agg(
         F.sum(F.size(F.split("content", "\n", -1)) - 1).cast("bigint").alias("lines"),
         F.sum(F.length("content")).alias("chars"),

@@ -2,30 +2,88 @@
 
 from __future__ import annotations
 
+import fnmatch
+import re
+from collections.abc import Iterator
+
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def _hidden_names(root: str, glob: str):
+    """Task that lists, by name only, the files Spark's readers take for hidden."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _ in batches:
+            store, base = fs.FileSystem.from_uri(root)
+            found = store.get_file_info(fs.FileSelector(base, recursive=True))
+            names = [f.path[len(base.rstrip("/")) + 1 :] for f in found if f.is_file]
+            yield pd.DataFrame(
+                {
+                    "path": [
+                        n
+                        for n in names
+                        if fnmatch.fnmatch(n.rsplit("/", 1)[-1], glob)
+                        and any(p[0] in "._" for p in n.split("/"))
+                    ]
+                }
+            )
+
+    return run
+
+
+def _contents(root: str):
+    """Task that reads files by their names."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, base = fs.FileSystem.from_uri(root)
+        for batch in batches:
+            for name in batch["path"]:
+                with store.open_input_stream(f"{base.rstrip('/')}/{name}") as f:
+                    yield pd.DataFrame({"path": [name], "content": [f.read()]})
+
+    return run
+
+
 def read_code(spark: SparkSession, root: str, repo: str, glob: str = "*.py") -> DataFrame:
     """code_files(repo, path, module, content) of every matching file under `root`.
 
-    Files are read as bytes and kept only if they are valid UTF-8.
+    Files are read as bytes and kept only if they are valid UTF-8. Spark's file
+    readers pass over names that begin with `_` or `.`, among them every
+    `__init__.py`; those are listed by name and read in tasks of their own.
     """
-    files = (
+    uri = re.sub("^(file:)?/+", "file:///", root.rstrip("/"))
+    seen = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", glob)
         .load(root)
+        .select(
+            F.replace(
+                F.regexp_replace("path", "^file:/+", "file:/"),
+                F.lit(re.sub("^file:/+", "file:/", uri) + "/"),
+                F.lit(""),
+            ).alias("path"),
+            "content",
+        )
+    )
+    names = spark.range(1).mapInPandas(_hidden_names(uri, glob), "path string")
+    hidden = names.repartition("path").mapInPandas(
+        _contents(uri), "path string, content binary"
+    )
+    text = F.col("content").cast("string")
+    return (
+        seen.unionByName(hidden)
+        .where(F.is_valid_utf8(text))
+        .select(
+            F.lit(repo).alias("repo"),
+            "path",
+            module_name(F.col("path")).alias("module"),
+            text.alias("content"),
+        )
     )
-    base = "file:" + root.rstrip("/") if root.startswith("/") else root.rstrip("/")
-    prefix = F.lit(base + "/")
-    path = F.regexp_replace(F.col("path"), r"^file:/+", "file:/")
-    readable = files.where(F.is_valid_utf8(F.col("content").cast("string")))
-    return readable.select(
-        F.lit(repo).alias("repo"),
-        F.replace(path, prefix, F.lit("")).alias("path"),
-        F.col("content").cast("string").alias("content"),
-    ).select("repo", "path", module_name(F.col("path")).alias("module"), "content")
 
 
 def module_name(path: Column) -> Column:
