@@ -20,16 +20,14 @@ def _hidden_names(root: str, glob: str):
             store, base = fs.FileSystem.from_uri(root)
             found = store.get_file_info(fs.FileSelector(base, recursive=True))
             names = [f.path[len(base.rstrip("/")) + 1 :] for f in found if f.is_file]
-            yield pd.DataFrame(
-                {
-                    "path": [
-                        n
-                        for n in names
-                        if fnmatch.fnmatch(n.rsplit("/", 1)[-1], glob)
-                        and any(p[0] in "._" for p in n.split("/"))
-                    ]
-                }
-            )
+            hidden = [
+                n
+                for n in names
+                if fnmatch.fnmatch(n.rsplit("/", 1)[-1], glob)
+                and any(p[0] in "._" for p in n.split("/"))
+            ]
+            if hidden:
+                yield pd.DataFrame({"path": hidden})
 
     return run
 
