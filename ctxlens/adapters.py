@@ -209,11 +209,20 @@ def request_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def line_item_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """lineitem as tool results: request = order, file = part modulo 50."""
+    """lineitem as tool results: request = order, file = part modulo 50.
+
+    Positions must be unique in a request. Line number, part and supplier repeat
+    together now and then, so the ship date is part of the position.
+    """
+    wide = lambda name, factor: F.col(name).cast("bigint") * F.lit(factor)
     return table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("request_id"),
-        ((F.col("l_linenumber") * F.lit(10_000_000_000)) + F.col("l_partkey") * F.lit(100_000)
-         + F.col("l_suppkey")).alias("pos"),
+        (
+            wide("l_linenumber", 10**18)
+            + wide("l_partkey", 10**11)
+            + wide("l_suppkey", 10**5)
+            + F.unix_date(F.to_date("l_shipdate"))
+        ).alias("pos"),
         (F.col("l_partkey") % 50).alias("file"),
     )
 

@@ -16,7 +16,8 @@ GAP = 6 * 3600
 
 # --- tool reads -----------------------------------------------------------------------
 
-READS = """reads AS (SELECT l_orderkey AS request_id, l_linenumber * 10000000000 + l_partkey * 100000 + l_suppkey AS pos,
+READS = """reads AS (SELECT l_orderkey AS request_id, CAST(l_linenumber AS BIGINT) * 1000000000000000000 + l_partkey * 100000000000
+    + l_suppkey * 100000 + date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) AS pos,
   l_partkey % 50 AS file FROM lineitem)"""
 
 
