@@ -1,8 +1,9 @@
 """Toxicity scores from the nearest labelled examples by exact TF-IDF cosine.
 
 Fitting uses a bounded sample of labelled rows (`examples` of each class); inverse
-document frequencies are counted over all documents. Terms are the words whose share
-differs between the sampled classes beyond chance. The examples stand in an inverted
+document frequencies are counted over all documents. Terms are words and beginnings
+of words, as such and as seen at least twice or four times; those whose share differs
+between the sampled classes beyond chance are used. The examples stand in an inverted
 index in blocks with each term's greatest weight per block; a block is scored only if
 its upper bound can still reach the nearest k, so the k found are exact. Votes are
 weighted by similarity and by how many rows an example stands for, and calibrated on
@@ -22,13 +23,16 @@ from pyspark.sql import functions as F
 from ctxlens.llm.tables import bytes_of, map_rows, row_key, stage
 from ctxlens.llm.words import plain_words
 
-EXAMPLES = 4000
+EXAMPLES = 2000
 TERMS = 4096
 LEAST_Z = 5.0
 LEAST_SUPPORT = 3
 NEAREST = 15
 BLOCK = 64
 PRIOR_WEIGHT = 0.05
+BEGINNINGS = (3, 4, 5, 6, 7)
+LEVELS = (1, 2, 4)
+MAX_CACHED = 300_000
 REJECT_AT = 0.3
 
 
@@ -37,11 +41,47 @@ def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def terms_of(word: bytes) -> list[bytes]:
+    """The word and its beginnings, marked by a star."""
+    return [word] + [word[:n] + b"*" for n in BEGINNINGS if len(word) >= n]
+
+
+def leveled(counts: dict) -> dict:
+    """(term, level) and how often it is there; higher levels are there or not."""
+    out = {}
+    for term, n in counts.items():
+        for level in LEVELS:
+            if n >= level:
+                out[term, level] = n if level == 1 else 1
+    return out
+
+
+class Known(dict):
+    """Of each word seen lately, the terms that the vocabulary has at any level."""
+
+    def __init__(self, vocabulary: dict[tuple[bytes, int], int]) -> None:
+        super().__init__()
+        self.terms = {term for term, _ in vocabulary}
+
+    def __missing__(self, word: bytes) -> tuple[bytes, ...]:
+        if len(self) >= MAX_CACHED:
+            self.clear()
+        found = self[word] = tuple(t for t in terms_of(word) if t in self.terms)
+        return found
+
+    def counts(self, words: list[bytes]) -> Counter:
+        held = Counter()
+        for word, n in Counter(words).items():
+            for term in self[word]:
+                held[term] += n
+        return held
+
+
 @dataclass
 class Index:
     """Examples in blocks, postings by term and block, and the calibration."""
 
-    vocabulary: dict[bytes, int]
+    vocabulary: dict[tuple[bytes, int], int]
     idf: np.ndarray
     ids: np.ndarray
     vote: np.ndarray
@@ -52,10 +92,17 @@ class Index:
     bound: np.ndarray  # terms x blocks, greatest weight
     prior: float = 0.0
     knots: tuple = ((0.0, 1.0), (0.0, 1.0))
+    known: Known | None = None
+
+    def counts(self, words: list[bytes]) -> dict[int, int]:
+        """Known terms of a text and how often they are there."""
+        if self.known is None:
+            self.known = Known(self.vocabulary)
+        found = leveled(self.known.counts(words))
+        return {self.vocabulary[t]: n for t, n in found.items() if t in self.vocabulary}
 
     def vector(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        known = self.vocabulary
-        counts = Counter([known[w] for w in words if w in known])
+        counts = self.counts(words)
         terms = np.fromiter(sorted(counts), np.int64, len(counts))
         tf = np.fromiter((counts[t] for t in terms.tolist()), np.float64, len(counts))
         return terms, unit((1 + np.log(tf)) * self.idf[terms]) if len(terms) else tf
@@ -135,62 +182,71 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int
     chosen, sizes = _sample(docs, labels, examples)
     # At most 2 * examples rows of two numbers.
     texts = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(chosen), "doc_id")
-    texts = texts.withColumn("key", row_key())
+    # Equal texts are one example; a text labelled both ways counts as toxic.
+    texts = stage(
+        texts.groupBy(row_key().alias("key"))
+        .agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic"), F.first("text").alias("text")),
+        "examples",
+    )
+    n = dict.fromkeys((0, 1), 0) | {r.toxic: r.n for r in texts.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    base = sizes.get(1, 0) / max(1, sum(sizes.values()))
+    if not n[0] or not n[1]:
+        return _index({}, np.empty(0), [], np.ones(2), base)
 
     def spread(batch):
-        out = {c: [] for c in ("doc_id", "toxic", "key", "term", "tf")}
-        for number, toxic, key, text in zip(
-            *(batch.column(c).to_pylist() for c in ("doc_id", "toxic", "key")), bytes_of(batch, "text"),
-            strict=True,
-        ):
-            for term, tf in (Counter(plain_words(text)) or {b"": 1}).items():
-                for name, value in zip(out, (number, toxic, key, term, tf), strict=True):
-                    out[name].append(value)
+        out = {c: [] for c in ("term", "level", "toxic")}
+        for toxic, text in zip(batch.column("toxic").to_pylist(), bytes_of(batch, "text"), strict=True):
+            counts = Counter()
+            for word, times in Counter(plain_words(text)).items():
+                for term in terms_of(word):
+                    counts[term] += times
+            for term, level in leveled(counts):
+                out["term"].append(term)
+                out["level"].append(level)
+                out["toxic"].append(toxic)
         return out
 
-    found = stage(
-        map_rows(texts, spread, "doc_id long, toxic int, key long, term binary, tf long"), "examples"
-    )
-    # Equal texts are one example; a text labelled both ways counts as toxic.
-    named = found.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic"))
-    rows = {r.key: (r.doc_id, r.toxic) for r in named.collect()}
-    one = found.groupBy("key", "term").agg(F.max("tf").alias("tf"), F.max("toxic").alias("toxic"))
-    n = np.array([sum(1 for _, y in rows.values() if y == c) for c in (0, 1)], float)
-    base = sizes.get(1, 0) / max(1, sum(sizes.values()))
-    if not n.all():
-        return _index({}, np.empty(0), [], np.ones(2), base)
-    share = (F.col("pos") + F.col("neg")) / float(n.sum())
+    share = (F.col("pos") + F.col("neg")) / float(n[0] + n[1])
     z = (F.col("pos") / float(n[1]) - F.col("neg") / float(n[0])) / F.sqrt(
         share * (1 - share) * float(1 / n[0] + 1 / n[1]) + 1e-12
     )
     picked = (
-        one.where(F.col("term") != F.lit(b""))
-        .groupBy("term")
+        map_rows(texts, spread, "term binary, level int, toxic int")
+        .groupBy("term", "level")
         .agg(F.sum("toxic").alias("pos"), F.sum(1 - F.col("toxic")).alias("neg"))
         .where((F.col("pos") + F.col("neg") >= LEAST_SUPPORT) & (F.abs(z) >= LEAST_Z))
-        .orderBy(F.abs(z).desc(), "term")
+        .orderBy(F.abs(z).desc(), "term", "level")
         .limit(terms)
     )
-    vocabulary = {bytes(r.term): i for i, r in enumerate(picked.select("term").collect())}
-    idf = _idf(docs, vocabulary)
-    known = one.join(F.broadcast(picked.select("term")), "term").select("key", "term", "tf").toPandas()
-    vectors: dict[int, list] = {key: [] for key in rows}
-    for key, term, tf in zip(known.key, known.term, known.tf, strict=True):
-        vectors[key].append((vocabulary[bytes(term)], tf))
-    weight = np.array([sizes[c] / n[c] for c in (0, 1)])
-    return _index(
-        vocabulary, idf, [(*rows[k], sorted(v)) for k, v in sorted(vectors.items())], weight, base
-    )
-
-
-def _idf(docs: DataFrame, vocabulary: dict[bytes, int]) -> np.ndarray:
+    vocabulary = {(bytes(r.term), r.level): i for i, r in enumerate(picked.select("term", "level").collect())}
+    known = Known(vocabulary)
+
+    def counts_of(batch):
+        found = [
+            {vocabulary[t]: n for t, n in leveled(known.counts(plain_words(x))).items() if t in vocabulary}
+            for x in bytes_of(batch, "text")
+        ]
+        return {"key": batch.column("key"), "doc_id": batch.column("doc_id"), "toxic": batch.column("toxic"),
+                "terms": [list(f) for f in found], "tf": [list(f.values()) for f in found]}
+
+    rows = map_rows(
+        texts, counts_of, "key long, doc_id long, toxic int, terms array<int>, tf array<long>"
+    ).orderBy("key").collect()
+    vectors = [(r.doc_id, r.toxic, sorted(zip(r.terms, r.tf, strict=True))) for r in rows]
+    weight = np.array([sizes.get(c, 0) / n[c] for c in (0, 1)])
+    return _index(vocabulary, _idf(docs, vocabulary), vectors, weight, base)
+
+
+def _idf(docs: DataFrame, vocabulary: dict[tuple[bytes, int], int]) -> np.ndarray:
     """From document frequencies over all documents; the result has one number per term."""
+    known = Known(vocabulary)
 
     def count(batch):
         held = Counter()
         texts = bytes_of(batch, "text")
         for text in texts:
-            held.update({vocabulary[w] for w in plain_words(text) if w in vocabulary})
+            found = leveled(known.counts(plain_words(text)))
+            held.update(vocabulary[t] for t in found if t in vocabulary)
         return {"term": [-1, *held], "n": [len(texts), *held.values()]}
 
     counted = map_rows(docs.select("text"), count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n"))
