@@ -95,14 +95,16 @@ def repeated_spans(
     """
     named = docs.where(F.col("doc_id").isNotNull())
     rows = _path_rows(named, window, minimizer)
-    shared = (
+    # Written tables on both sides of the joins let Spark split a hot minimizer or edge.
+    shared = stage(
         rows.groupBy("m")
         .agg(
             F.min("doc_id").alias("first"), F.max("doc_id").alias("last"),
             F.min("content").alias("low"), F.max("content").alias("high"),
         )
         .where(F.col("first") < F.col("last"))
-        .select("m", "first", (F.col("low") != F.col("high")).alias("branches"))
+        .select("m", "first", (F.col("low") != F.col("high")).alias("branches")),
+        "shared",
     )
     met = stage(
         rows.select("m", "doc_id", "key", "place")
@@ -122,11 +124,12 @@ def repeated_spans(
         met.where("branches").groupBy("doc_id", "key").agg(F.collect_list("place").alias("places"))
     )
     edges = stage(_edge_rows(_packed(named).join(branching, ["doc_id", "key"]), window, minimizer), "edges")
-    first = (
+    first = stage(
         edges.groupBy("m", "edge")
         .agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
         .where(F.col("first") < F.col("last"))
-        .select("m", "edge", "first")
+        .select("m", "edge", "first"),
+        "first",
     )
     single = (
         edges.join(first, ["m", "edge"])
