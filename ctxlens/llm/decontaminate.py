@@ -154,7 +154,7 @@ def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int =
         .where(F.array_join(F.slice(words, skipped + 1, F.col("size")), " ") == F.col("window").cast("string"))
         .select("doc_id", "key", "window", start.alias("start"), (start + F.col("size")).alias("stop"))
     )
-    named = windows.select("item_id", "window").distinct()
+    named = stage(windows.select("item_id", "window").distinct(), "named")
     return marked.select("doc_id", "key", "n_words"), verified.join(named, "window").select(
         "doc_id", "key", "item_id", "start", "stop"
     )

@@ -27,7 +27,10 @@ def components(edges: DataFrame) -> DataFrame:
     mark = _mark(now)
     while mark[0]:
         both = now.union(now.select("b", "a")).toDF("u", "v")
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+        # Written, so that Spark can split the join where a hub has many edges.
+        least = stage(
+            both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), "least"
+        )
         large = (
             both.where(F.col("v") > F.col("u"))
             .join(least, "u")

@@ -129,7 +129,8 @@ def links(fps: DataFrame) -> DataFrame:
     fingerprints yields a number of links in proportion to n and not to its square.
     """
     posts = _postings(fps)
-    sizes = posts.groupBy("slot", "key").agg(F.count("*").alias("n")).where(F.col("n") > 1)
+    # A written table, so that Spark can split the join where a list is hot.
+    sizes = stage(posts.groupBy("slot", "key").agg(F.count("*").alias("n")).where(F.col("n") > 1), "sizes")
     posts = stage(posts.join(sizes, ["slot", "key"]), "postings")
     short = posts.where(F.col("n") <= SMALL_LIST).select("slot", "key", "fp")
     a, b = short.withColumnRenamed("fp", "a"), short.withColumnRenamed("fp", "b")
