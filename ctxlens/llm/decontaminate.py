@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ctxlens.llm.tables import bytes_of, map_rows, row_key, stage
+from ctxlens.llm.tables import bytes_of, fresh, map_rows, row_key, stage
 from ctxlens.llm.words import WordHashes, plain_words, run_hashes
 
 WINDOW = 10
@@ -199,7 +199,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, shing
 def clean_documents(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
     """`docs` without the documents in which an item's window occurs; a null doc_id is judged alike."""
     rows, found = hits(docs, items, window, shingle)
-    bad = found.select(F.col("doc_id").alias("_d"), F.col("key").alias("_k")).distinct()
-    return docs.join(
-        bad, docs.doc_id.eqNullSafe(F.col("_d")) & (row_key() == F.col("_k")), "left_anti"
-    )
+    number, key = fresh(docs, "_doc"), fresh(docs, "_key")
+    bad = found.select("doc_id", "key").distinct().toDF(number, key)
+    same = F.col("doc_id").eqNullSafe(F.col(number)) & (row_key() == F.col(key))
+    return docs.join(bad, same, "left_anti")

@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ctxlens.llm.tables import bytes_of, map_rows, row_key, stage
+from ctxlens.llm.tables import bytes_of, fresh, map_rows, row_key, stage
 from ctxlens.llm.words import WordHashes, mix, run_hashes, sliding_min, spaced_words
 
 WINDOW = 50
@@ -240,17 +240,20 @@ def without_repeats(
         return {"doc_id": batch.column("doc_id"), "key": batch.column("key"), "kept": texts}
 
     columns = docs.columns
-    keyed = docs.withColumn("_key", row_key())
-    plain = keyed.select(F.col("doc_id").cast("long"), "text", F.col("_key").alias("key"))
+    number, mine, other, kept = (fresh(docs, c) for c in ("_doc", "_mine", "_other", "_kept"))
+    keyed = docs.withColumn(mine, row_key())
+    plain = keyed.select(F.col("doc_id").cast("long"), "text", F.col(mine).alias("key"))
     found = repeated_spans(plain, window, minimizer)
-    cut = map_rows(_packed(plain).join(found, ["doc_id", "key"]), run, "doc_id long, key long, kept string")
-    cut = cut.dropDuplicates(["doc_id", "key"]).select(
-        F.col("doc_id").alias("_doc"), F.col("key").alias("_cut"), "kept"
+    cut = map_rows(
+        _packed(plain).join(found, ["doc_id", "key"]), run, "doc_id long, key long, kept string"
+    ).dropDuplicates(["doc_id", "key"])
+    joined = keyed.join(
+        cut.toDF(number, other, kept),
+        (F.col("doc_id") == F.col(number)) & (F.col(mine) == F.col(other)), "left",
     )
-    joined = keyed.join(cut, (F.col("doc_id") == F.col("_doc")) & (F.col("_key") == F.col("_cut")), "left")
-    new = {"text": F.coalesce("kept", "text")}
+    new = {"text": F.coalesce(kept, "text")}
     if "n_chars" in columns:
-        new["n_chars"] = F.when(F.col("kept").isNull(), F.col("n_chars")).otherwise(
-            F.char_length("kept").cast(docs.schema["n_chars"].dataType)
+        new["n_chars"] = F.when(F.col(kept).isNull(), F.col("n_chars")).otherwise(
+            F.char_length(kept).cast(docs.schema["n_chars"].dataType)
         )
     return joined.withColumns(new).select(*columns)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ctxlens.runtime import apply_settings, stage
 
-__all__ = ["bytes_of", "clean_name", "map_rows", "row_key", "stage", "table"]
+__all__ = ["bytes_of", "fresh", "map_rows", "row_key", "stage", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +50,9 @@ def _arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(schema))
 
 
-def clean_name(df: DataFrame, *wanted: str) -> DataFrame:
-    """Only the columns an operator reads; extra columns, whatever their names, play no part."""
-    return df.select(*wanted)
+def fresh(df: DataFrame, name: str) -> str:
+    """The name with as many underscores before it as keep it apart from the table's columns."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
