@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ctxlens import fixed_values as fv
 from ctxlens.functions import variants as V
-from ctxlens.functions.text import file_from_tool_input
+from ctxlens.functions.text import CODE_BLOCK, file_from_tool_input
 
 
 def api_of(endpoint: Column) -> Column:
@@ -335,6 +335,7 @@ def text_units(
 
 
 def last_user_text(msgs: DataFrame) -> DataFrame:
-    """Text of each request's last user message."""
+    """Text of each request's last user message, code blocks taken out."""
     own = msgs.where((F.col("role") == "user") & ~F.col("detect_only"))
-    return own.groupBy("request_id").agg(F.max_by("text", "msg_idx").alias("text"))
+    last = own.groupBy("request_id").agg(F.max_by("text", "msg_idx").alias("text"))
+    return last.withColumn("text", F.regexp_replace("text", CODE_BLOCK, ""))

@@ -114,7 +114,9 @@ def forwarded_headers(headers: Column, redact: str = "[redacted]") -> Column:
     kept = F.map_filter(headers, lambda k, _: ~F.lower(k).isin(fv.DROPPED_HEADERS))
     safe = F.transform_values(
         kept,
-        lambda k, v: F.when(F.lower(k).isin(fv.SECRET_HEADERS), redact).otherwise(v),
+        lambda k, v: F.when(
+            F.lower(k).isin(fv.SECRET_HEADERS) | F.lower(k).rlike("cookie|account|session"), redact
+        ).otherwise(v),
     )
     return F.map_concat(
         safe, F.create_map(F.lit("Content-Type"), F.lit(fv.JSON_CONTENT_TYPE))

@@ -214,7 +214,8 @@ def rank_files(
     """Top `k` files per query by the weighted sum of the three signals.
 
     Files that neither relevance nor structure speaks for differ by recency only,
-    so of those just the `k` most recent can enter a top `k`. Only they are paired
+    so of those just the `k` most recent can enter a top `k`; with a recency weight of
+    0 they differ by path only, and the `k` smallest paths can. Only they are paired
     with the queries; all others are scored from their own rows. This is exact
     because weights are not negative and ties are ordered by path everywhere.
     """
@@ -228,9 +229,8 @@ def rank_files(
         .join(structure.select(*keys, F.col("score").alias("structural")), keys, "full")
     )
     ids = F.array(*[F.lit(q).cast("bigint") for q in query_ids])
-    fresh = top_k(recency_rows, k).select(
-        "repo", "path", F.explode(ids).alias("query_id")
-    )
+    unspoken = recency_rows if weights[2] > 0 else recency_rows.withColumn("score", F.lit(0.0))
+    fresh = top_k(unspoken, k).select("repo", "path", F.explode(ids).alias("query_id"))
     candidates = spoken.unionByName(fresh, allowMissingColumns=True)
     silent = relevance.where(F.col("score") == 0).select(*keys)
     zero = top_k_by_path(silent, k)

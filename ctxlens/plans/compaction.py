@@ -181,7 +181,10 @@ class Compaction:
         return act.block_counts(both)
 
     def request_metrics(self, tokens: Counter = heuristic_tokens) -> DataFrame:
-        """Tokens before and after per request, plus tokens saved in tool results."""
+        """Tokens before and after per request, plus tokens saved in tool results.
+
+        Requests to endpoints that are only passed through are not metered.
+        """
         overhead = F.col("n_counted") * fv.TOKENS_PER_MESSAGE + fv.TOKENS_PER_REPLY
         after_overhead = (
             F.col("n_sent") * fv.TOKENS_PER_MESSAGE + fv.TOKENS_PER_REPLY
@@ -196,7 +199,8 @@ class Compaction:
         kept = [c for c in ("ts",) if c in self.requests.columns]
         zero = F.lit(0).cast("bigint")
         return (
-            self.requests.select("request_id", *kept, "model", "policy", "n_counted", "n_sent")
+            self.requests.where(F.col("api") != "other")
+            .select("request_id", *kept, "model", "policy", "n_counted", "n_sent")
             .join(counted, "request_id", "left")
             .join(in_results, "request_id", "left")
             .select(

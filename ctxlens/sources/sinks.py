@@ -12,10 +12,18 @@ def write_bodies(rewritten: DataFrame, path: str, mode: str = "overwrite") -> No
     rewritten.select(body.alias("value")).write.mode(mode).text(path)
 
 
-def append_by_day(facts: DataFrame, path: str, ts: str = "ts", mode: str = "append") -> None:
-    """Facts as parquet, one folder per day, rows of a day brought together first."""
+def append_by_day(
+    facts: DataFrame, path: str, ts: str = "ts", mode: str = "append", files_per_day: int = 8
+) -> None:
+    """Facts as parquet, one folder per day.
+
+    Rows of a day are first brought together in at most `files_per_day` tasks, so a
+    write makes few files and no single task gets a whole day.
+    """
+    salt = F.pmod(F.xxhash64(*facts.columns), F.lit(files_per_day))
     (
         facts.withColumn("day", F.to_date(ts))
+        .repartition("day", salt)
         .write.mode(mode)
         .partitionBy("day")
         .parquet(path)

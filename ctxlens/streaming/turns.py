@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ctxlens import fixed_values as fv
@@ -27,9 +27,7 @@ def continued_turns(
         batch.groupBy(key)
         .agg(F.min(ts).alias("_first"))
         .join(state, key)
-        .where(
-            F.unix_micros("_first") - F.unix_micros("last_seen") <= gap_seconds * 1_000_000
-        )
+        .where(_near("_first", "last_seen", gap_seconds))
         .select(key, F.lit(1).cast("bigint").alias("run"), F.col("turns").alias("_carried"))
     )
     return (
@@ -42,18 +40,35 @@ def continued_turns(
 def next_state(
     turns: DataFrame, state: DataFrame, key: str, ts: str, gap_seconds: int
 ) -> DataFrame:
-    """Latest request per session; sessions idle for longer than the gap are let go."""
+    """Latest request per session; sessions idle for longer than the gap are let go.
+
+    Late rows never set `last_seen` back. Late rows of a run that ended before the
+    gap leave the session's count alone; those within the gap add to it, so numbers
+    follow arrival. Without rows the state stays as it is.
+    """
     seen = turns.groupBy(key).agg(
-        F.max(ts).alias("last_seen"),
-        F.max_by("turn_count", F.struct("run", "turn_count")).alias("turns"),
+        F.max(ts).alias("_seen"),
+        F.max_by("turn_count", F.struct("run", "turn_count")).alias("_turns"),
     )
     now = turns.agg(F.max(ts).alias("now")).scalar()
-    both = seen.unionByName(state.join(seen, key, "left_anti"))
+    stale = (F.col("last_seen") > F.col("_seen")) & ~_near("_seen", "last_seen", gap_seconds)
+    both = seen.join(state, key, "full").select(
+        key,
+        F.greatest("last_seen", "_seen").alias("last_seen"),
+        F.when(F.col("_turns").isNull() | F.coalesce(stale, F.lit(False)), F.col("turns"))
+        .otherwise(F.col("_turns"))
+        .alias("turns"),
+    )
     return both.where(
-        F.unix_micros("last_seen") >= F.unix_micros(now) - gap_seconds * 1_000_000
+        now.isNull()
+        | (F.unix_micros("last_seen") >= F.unix_micros(now) - gap_seconds * 1_000_000)
     )
 
 
+def _near(a: str, b: str, gap_seconds: int) -> Column:
+    return F.abs(F.unix_micros(a) - F.unix_micros(b)) <= gap_seconds * 1_000_000
+
+
 def turn_writer(
     out: str,
     state_dir: str,

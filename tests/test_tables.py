@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ctxlens.functions.tokens import bpe_tokens, heuristic_tokens
-from ctxlens.operators import accounting, cache_plan, imports, ranking, sessions, tool_reads
+from ctxlens.operators import messages, accounting, cache_plan, imports, ranking, sessions, tool_reads
 from ctxlens.operators.ranking import Query
 from ctxlens.sources.commit_log import read_commit_log
 from ctxlens.sources.corpus import module_name, read_code
@@ -204,3 +204,26 @@ def test_plans_reduce_before_the_shuffle(spark):
     assert "partial_max" in plan(tool_reads.stale_reads(df))
     assert "WindowGroupLimit" in plan(accounting.recent_by(df, "request_id", "pos", "file"))
     assert "Cartesian" not in plan(tool_reads.stale_reads(df))
+
+
+def test_stream_state_survives_empty_and_late_batches(spark, tmp_path):
+    rows = [(0, "a", 1, 1000), (0, "a", 2, 1100), (2, "a", 3, 1200), (3, "a", 4, 1150), (4, "a", 5, 100), (5, "a", 6, 1300)]
+    df = spark.createDataFrame(rows, "b int, k string, id int, t int").withColumn("ts", F.timestamp_seconds("t"))
+    write = turns.turn_writer(f"{tmp_path}/out", f"{tmp_path}/state", "k", "ts", "id", 300)
+    for b in range(6):
+        write(df.where(F.col("b") == b).drop("b", "t"), b)
+    got = {r.id: r.turn_count for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 4, 5: 1, 6: 5}
+
+
+def test_last_user_text_without_code(spark):
+    rows = [("r", 0, "user", "first", False), ("r", 1, "user", "see ```py\nx = 1\n``` here", False), ("r", 2, "assistant", "no", False)]
+    df = spark.createDataFrame(rows, "request_id string, msg_idx int, role string, text string, detect_only boolean")
+    assert messages.last_user_text(df).first().text == "see  here"
+
+
+def test_few_files_per_day(spark, tmp_path):
+    df = spark.range(4000).repartition(40).withColumn("ts", F.timestamp_seconds(F.col("id") % 2 * 86400))
+    append_by_day(df, f"{tmp_path}/facts", files_per_day=3)
+    read = spark.read.parquet(f"{tmp_path}/facts")
+    assert read.count() == 4000 and len(read.inputFiles()) <= 6
