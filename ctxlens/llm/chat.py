@@ -94,13 +94,14 @@ def _doubled(rows: DataFrame) -> DataFrame:
         F.col("conv_id").alias("_c"), F.col("node").alias("_n"), F.col("jump").alias("_j"),
         F.col("depth").alias("_d"), F.col("total").alias("_t"),
     )
-    return rows.join(
-        above, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("jump") == F.col("_n")), "left"
+    open_ = rows.where(F.col("jump").isNotNull())  # nodes at their root take part no more
+    further = open_.join(
+        above, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("jump") == F.col("_n"))
     ).select(
         "conv_id", "node", "parent", F.col("_j").alias("jump"),
-        (F.col("depth") + F.coalesce("_d", F.lit(0))).alias("depth"),
-        (F.col("total") + F.coalesce("_t", F.lit(0.0))).alias("total"),
+        (F.col("depth") + F.col("_d")).alias("depth"), (F.col("total") + F.col("_t")).alias("total"),
     )
+    return further.union(rows.where(F.col("jump").isNull()))
 
 
 def best_branches(nodes: DataFrame, top: int = 1) -> DataFrame:
