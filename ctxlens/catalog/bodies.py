@@ -208,7 +208,7 @@ PLAN = f"""
 plan AS (
   SELECT *, CASE WHEN sys = 4 THEN 1 ELSE 0 END AS existing,
          CAST(tools AS INT) + CAST(sys IN (2, 3) AS INT) + 1 AS breakpoints,
-         substr(sha256('user' || chr(31) || substr(text, 1, 512) || chr(31) || 'assistant' || chr(31) ||
+         substr(sha256('user' || chr(31) || text || chr(31) || 'assistant' || chr(31) ||
            CASE WHEN tools THEN 'text' || chr(31) || 'Reading' || chr(31) || 'tool_use' || chr(31) ELSE 'Working on it' END), 1, 16) AS session_id,
          (length(text) + CASE WHEN tools THEN 7 + length(py) ELSE 18 + length(coded) END) // 4 AS cached
   FROM req WHERE api = 'messages')"""
@@ -278,8 +278,10 @@ def cache_stats(spark, sf):
 
 
 @CATALOG.add(
-    f"""WITH {REQ}, {PLAN}, {RUNS} SELECT request_id, session_id, CAST(run AS BIGINT) AS run,
-    CAST(row_number() OVER (PARTITION BY session_id, run ORDER BY ts, request_id) AS BIGINT) AS turn_count FROM runs"""
+    f"""WITH {REQ}, {PLAN}, {RUNS} SELECT request_id, session_id,
+    CASE WHEN session_id IS NOT NULL THEN CAST(run AS BIGINT) END AS run,
+    CASE WHEN session_id IS NULL THEN 0
+         ELSE CAST(row_number() OVER (PARTITION BY session_id, run ORDER BY ts, request_id) AS BIGINT) END AS turn_count FROM runs"""
 )
 def request_turns(spark, sf):
     plans = _plans(spark, sf).select("request_id", "session_id", "ts")

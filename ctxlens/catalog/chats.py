@@ -165,7 +165,7 @@ def report_formats(spark, sf):
     """WITH m AS (SELECT conv_id, turn, length(text) AS n_chars,
                   count(*) OVER (PARTITION BY conv_id) AS n FROM conversations)
     SELECT conv_id AS request_id, CAST(max(n) AS BIGINT) AS n_messages,
-    CAST(CASE WHEN max(n) >= 3 THEN max(n) - 3 ELSE -1 END AS BIGINT) AS prefix_end_index,
+    CAST(CASE WHEN max(n) >= 3 AND max(n_chars) FILTER (turn = n - 3) > 0 THEN max(n) - 3 ELSE -1 END AS BIGINT) AS prefix_end_index,
     CAST(CASE WHEN max(n) >= 3 THEN coalesce(sum(n_chars) FILTER (turn < n - 2), 0) // 4 ELSE 0 END AS BIGINT)
       AS cached_tokens_estimate
     FROM m GROUP BY conv_id"""
@@ -177,7 +177,7 @@ def cached_prefix(spark, sf):
 
 @CATALOG.add(
     """SELECT conv_id AS request_id,
-    substr(sha256(string_agg(role || chr(31) || substr(text, 1, 512), chr(31) ORDER BY turn)), 1, 16) AS session_id
+    substr(sha256(string_agg(role || chr(31) || text, chr(31) ORDER BY turn)), 1, 16) AS session_id
     FROM conversations WHERE turn < 2 GROUP BY conv_id"""
 )
 def session_fingerprint(spark, sf):

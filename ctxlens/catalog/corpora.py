@@ -92,18 +92,27 @@ def code_corpus(spark, sf):
 
 # --- relevance ----------------------------------------------------------------------------
 
-SUMMARIES = """
+def _summaries_sql(lines: str) -> str:
+    return f"""
 docs AS (SELECT doc_id, source || '/d' || doc_id || '.py' AS path, 'd' || doc_id || '.py' AS name,
-  list_aggregate(list_filter(list_transform(list_slice(string_split(substr(text, 1, 2048), chr(10)), 1, 20),
+  list_aggregate(list_filter(list_transform({lines},
     lambda x: trim(x)), lambda x: x <> ''), 'string_agg', ' ') AS summary FROM documents),
 summ AS (SELECT * FROM docs WHERE summary IS NOT NULL AND summary <> '')"""
 
 
+BEGINNINGS = _summaries_sql(
+    f"list_slice(string_split(substr(text, 1, {fv.SUMMARY_CHARS}), chr(10)), 1, {fv.SUMMARY_LINES})"
+)
+SUMMARIES = _summaries_sql("string_split(text, chr(10))")
+
+
 @CATALOG.add(
-    f"WITH {SUMMARIES} SELECT path, summary, 'Filename: ' || name || '. Content: ' || summary AS embedded FROM summ"
+    f"WITH {BEGINNINGS} SELECT path, summary, 'Filename: ' || name || '. Content: ' || summary AS embedded FROM summ"
 )
 def summaries(spark, sf):
-    rows = ranking.summaries(ad.document_files(spark, sf))
+    rows = ranking.summaries(
+        ad.document_files(spark, sf), fv.SUMMARY_CHARS, fv.SUMMARY_LINES
+    )
     return rows.select(
         "path", "summary", embedding_text(F.col("path"), F.col("summary")).alias("embedded")
     )

@@ -44,16 +44,11 @@ def _drain(writer, root: str):
     query.awaitTermination()
 
 
-def _appended(df, root: str):
-    _drain(df.writeStream.outputMode("append").format("parquet").option("path", f"{root}/out"), root)
-    return df.sparkSession.read.schema(df.schema).parquet(f"{root}/out")
-
-
 @CATALOG.add(
     """SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type AS model, CAST(count(*) AS BIGINT) AS requests,
     CAST(sum(event_id % 500 + 7) AS BIGINT) AS original_tokens, CAST(sum(event_id % 300 + 7) AS BIGINT) AS compressed_tokens,
     CAST(sum(event_id % 500 - event_id % 300) AS BIGINT) AS tokens_saved FROM events
-    GROUP BY 1, 2 HAVING time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE"""
+    GROUP BY 1, 2"""
 )
 def stream_savings(spark, sf):
     root = _folder(spark, "savings")
@@ -65,8 +60,8 @@ def stream_savings(spark, sf):
         (e % 300 + 7).alias("compressed_tokens"),
         F.lit(0.0).alias("cost_saved"),
     )
-    out = _appended(totals.windowed_totals(metrics, "model"), root)
-    return out.select(
+    _drain(metrics.writeStream.foreachBatch(totals.totals_writer(f"{root}/out", "model")), root)
+    return totals.windowed_totals(spark, f"{root}/out", "model").select(
         F.col("window_start").cast("timestamp_ntz").alias("window_start"),
         "model", "requests", "original_tokens", "compressed_tokens", "tokens_saved",
     )
@@ -74,12 +69,14 @@ def stream_savings(spark, sf):
 
 @CATALOG.add(
     f"""WITH {RUNS} SELECT user_id, min(ts) AS first_seen, max(ts) AS last_seen, CAST(count(*) AS BIGINT) AS turn_count
-    FROM runs GROUP BY user_id, run HAVING max(ts) + INTERVAL {GAP} SECOND <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE"""
+    FROM runs GROUP BY user_id, run"""
 )
 def stream_sessions(spark, sf):
     root = _folder(spark, "sessions")
     stream = _arrivals(spark, sf, root).select("user_id", "ts")
-    out = _appended(totals.session_totals(stream, "user_id", GAP), root)
+    write = totals.session_writer(f"{root}/out", "user_id", "ts", GAP)
+    _drain(stream.writeStream.foreachBatch(write), root)
+    out = totals.session_totals(spark, f"{root}/out", "user_id", GAP)
     return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("first_seen", "last_seen")})
 
 

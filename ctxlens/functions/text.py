@@ -186,18 +186,25 @@ def splice_blocks(text: Column, replacements: Column) -> Column:
     return F.when(replacements.isNull(), text).otherwise(F.array_join(pieces, ""))
 
 
-def file_summary(content: Column) -> Column:
-    """First lines of a file, blanks dropped, joined by one space; '' if none.
-
-    Line breaks other than a line feed are rare, so they are looked for once and
-    replaced only where they occur; the rest is cut at a plain character.
+def file_summary(
+    content: Column, max_chars: int | None = None, max_lines: int | None = None
+) -> Column:
+    """Lines of a file, blanks dropped, joined by one space; '' if none.
+
+    The whole file, or its first `max_chars` characters (a line break counts as one)
+    and `max_lines` lines. Line breaks other than a line feed are rare, so they are
+    looked for once and replaced only where they occur.
     """
-    head = F.substring(content, 1, 2 * fv.SUMMARY_CHARS)
+    head = content if max_chars is None else F.substring(content, 1, 2 * max_chars)
     unix = F.when(
         F.regexp_like(head, F.lit(ODD_BREAK)), F.regexp_replace(head, LINE_BREAK, "\n")
     ).otherwise(head)
-    pieces = F.split(F.substring(unix, 1, fv.SUMMARY_CHARS), "\n", fv.SUMMARY_LINES + 1)
-    stripped = F.transform(F.slice(pieces, 1, fv.SUMMARY_LINES), strip)
+    if max_chars is not None:
+        unix = F.substring(unix, 1, max_chars)
+    pieces = F.split(unix, "\n", -1 if max_lines is None else max_lines + 1)
+    if max_lines is not None:
+        pieces = F.slice(pieces, 1, max_lines)
+    stripped = F.transform(pieces, strip)
     return F.array_join(F.filter(stripped, lambda x: x != ""), " ")
 
 

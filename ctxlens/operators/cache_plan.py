@@ -111,26 +111,35 @@ def _prefix_target() -> Column:
     )
 
 
-def fingerprint() -> Column:
-    """Session id: hash of the opening messages as logged, before any marking."""
+def _start(text: Column, length: int | None) -> Column:
+    return text if length is None else F.substring(text, 1, length)
+
+
+def fingerprint(
+    chars: int | None = None, blocks: int | None = None, block_chars: int | None = None
+) -> Column:
+    """Session id: hash of the opening messages as logged, before any marking.
+
+    Whole messages count; the limits take the first `chars` of a plain text and the
+    first `block_chars` of the first `blocks` blocks of a list.
+    """
 
     def block_pieces(p: Column) -> Column:
         return F.when(
             p.is_object,
             F.array(
                 F.coalesce(p.type, F.lit("")),
-                F.substring(F.coalesce(p.text, F.lit("")), 1, fv.FINGERPRINT_BLOCK_CHARS),
+                _start(F.coalesce(p.text, F.lit("")), block_chars),
             ),
         ).otherwise(F.array().cast("array<string>"))
 
     def message_pieces(m: Column) -> Column:
-        listed = F.flatten(
-            F.transform(F.slice(m.parts, 1, fv.FINGERPRINT_BLOCKS), block_pieces)
-        )
+        parts = m.parts if blocks is None else F.slice(m.parts, 1, blocks)
+        listed = F.flatten(F.transform(parts, block_pieces))
         none = F.array().cast("array<string>")
         body = F.when(
             m.content_kind == "string",
-            F.array(F.substring(m.text, 1, fv.FINGERPRINT_CHARS)),
+            F.array(_start(m.text, chars)),
         ).otherwise(F.coalesce(listed, none))
         return F.when(
             m.is_object, F.concat(F.array(F.coalesce(m.role, F.lit(""))), body)
@@ -360,22 +369,26 @@ def marked_bodies(planned: DataFrame, where: Column | None = None) -> DataFrame:
 def prefix_estimate(msgs: DataFrame) -> DataFrame:
     """Per request: message count, cut-off index and cached-token estimate.
 
-    `msgs` has request_id, gap-free msg_idx and n_chars. The characters of the
-    trailing messages come from the last positions and are taken off the sum.
+    `msgs` has request_id, gap-free msg_idx and n_chars. An empty message at the
+    cut-off takes no marker, so there is no index then. The characters of the cut-off
+    and trailing messages come from the last positions; the trailing ones are taken
+    off the sum.
     """
-    tails = last_positions(fv.TRAILING_MESSAGES, "msg_idx", F.col("n_chars"))
+    tails = last_positions(fv.TRAILING_MESSAGES + 1, "msg_idx", F.col("n_chars"))
     names = [f"_tail{i}" for i in range(len(tails))]
     sums = msgs.groupBy("request_id").agg(
         F.count("*").alias("n_messages"),
         F.sum("n_chars").alias("_chars"),
         *[t.alias(n) for t, n in zip(tails, names)],
     )
-    tail = sum((F.coalesce(n, F.lit(0)) for n in names), F.lit(0))
+    last = F.array(*[F.coalesce(n, F.lit(0)) for n in names])
+    cut_off = F.get(last, (F.col("n_messages") % len(tails)).cast("int"))
+    tail = sum((F.coalesce(n, F.lit(0)) for n in names), F.lit(0)) - cut_off
     big = F.col("n_messages") >= fv.MIN_MESSAGES_TO_CACHE
     return sums.select(
         "request_id",
         "n_messages",
-        F.when(big, F.col("n_messages") - fv.TRAILING_MESSAGES - 1)
+        F.when(big & (cut_off > 0), F.col("n_messages") - fv.TRAILING_MESSAGES - 1)
         .otherwise(-1)
         .cast("bigint")
         .alias("prefix_end_index"),
@@ -386,15 +399,16 @@ def prefix_estimate(msgs: DataFrame) -> DataFrame:
     )
 
 
-def flat_fingerprint(msgs: DataFrame) -> DataFrame:
+def flat_fingerprint(msgs: DataFrame, chars: int | None = None) -> DataFrame:
     """Session id per request from (request_id, msg_idx, role, text); string content.
 
+    Whole texts count, or the first `chars` of each.
     Only the opening messages leave the scan, so a request sends two rows at most.
     """
     head = msgs.where(F.col("msg_idx") < fv.FINGERPRINT_MESSAGES).select(
         "request_id",
         "msg_idx",
-        F.concat_ws("\x1f", "role", F.substring("text", 1, fv.FINGERPRINT_CHARS)).alias("_p"),
+        F.concat_ws("\x1f", "role", _start(F.col("text"), chars)).alias("_p"),
     )
     joined = head.groupBy("request_id").agg(
         *[

@@ -55,9 +55,14 @@ def recency(
 # --- relevance ---------------------------------------------------------------------
 
 
-def summaries(code_files: DataFrame) -> DataFrame:
-    """(repo, path, summary); files with an empty summary are left out."""
-    summary = once_if(file_summary(F.col("content")), lambda s: s != "")
+def summaries(
+    code_files: DataFrame, max_chars: int | None = None, max_lines: int | None = None
+) -> DataFrame:
+    """(repo, path, summary) of whole files or, with limits, of their beginnings.
+
+    Files with an empty summary are left out.
+    """
+    summary = once_if(file_summary(F.col("content"), max_chars, max_lines), lambda s: s != "")
     return code_files.select("repo", "path", summary.alias("summary"))
 
 
@@ -105,16 +110,21 @@ def keyword_scores(summary_rows: DataFrame, queries: Sequence[Query]) -> DataFra
 
 
 def _cosine(vectors: pa.Array, query: pa.Array) -> pa.Array:
-    """Cosine of each vector with the query vector of its row, in double."""
+    """Cosine of each vector with the query vector of its row, in double; null for null."""
 
     def matrix(a: pa.Array) -> np.ndarray:
         flat = a.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
         return flat.reshape(len(a), -1)
 
-    left, right = matrix(vectors), matrix(query)
-    norm = np.sqrt((left * left).sum(axis=1) * (right * right).sum(axis=1))
-    dot = (left * right).sum(axis=1)
-    return pa.array(np.divide(dot, norm, out=np.zeros_like(dot), where=norm > 0))
+    good = vectors.is_valid()
+    known = good.to_numpy(zero_copy_only=False)
+    out = np.zeros(len(known))
+    if known.any():
+        left, right = matrix(vectors.filter(good)), matrix(query.filter(good))
+        norm = np.sqrt((left * left).sum(axis=1) * (right * right).sum(axis=1))
+        dot = (left * right).sum(axis=1)
+        out[known] = np.divide(dot, norm, out=np.zeros_like(dot), where=norm > 0)
+    return pa.array(out, mask=~known)
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -135,17 +145,24 @@ def cosine(a: Column, b: Column) -> Column:
 def cosine_scores(vectors: DataFrame, query_vector: Column, size: int | None = None) -> DataFrame:
     """(path, score) of every vector for one query vector, negatives clipped to 0.
 
-    `query_vector` is a literal or a scalar subquery. With `size`, vectors of that
-    many values are compared in Arrow batches and malformed ones are left out.
+    `query_vector` is a literal or a scalar subquery. With `size`, vectors are
+    compared in Arrow batches. Either way a vector that is null, holds a null or has
+    another length than the query is kept with a null score.
     """
     if size is None:
         vectors = vectors.withColumn("_query", query_vector)
         score = cosine(F.col("embedding"), F.col("_query"))
     else:
-        whole = (F.size("embedding") == size) & F.forall("embedding", lambda x: x.isNotNull())
-        vectors = vectors.where(whole)
-        score = F.arrow_udf(_cosine, "double")("embedding", query_vector)
-    return vectors.select("path", F.greatest(F.lit(0.0), score).alias("score"))
+        both = _whole(F.col("embedding"), size) & _whole(query_vector, size)
+        score = F.arrow_udf(_cosine, "double")(F.when(both, F.col("embedding")), query_vector)
+    vectors = vectors.withColumn("score", score)
+    clipped = F.when(F.col("score").isNotNull(), F.greatest(F.lit(0.0), F.col("score")))
+    return vectors.select("path", clipped.alias("score"))
+
+
+def _whole(vector: Column, size: int) -> Column:
+    """Has `size` values, none of them null."""
+    return (F.size(vector) == size) & F.forall(vector, lambda x: x.isNotNull())
 
 
 def boosted_files(scores: DataFrame, threshold: float = fv.BOOST_THRESHOLD) -> DataFrame:

@@ -74,10 +74,10 @@ def turn_counts(
 ) -> DataFrame:
     """Every request with its `run` and its 1-based `turn_count` in that run.
 
-    Rows are numbered inside a tick of about a gap / 300; the numbers before a
+    A request without a key belongs to no run and has the turn 0. Rows are numbered inside a tick of about a gap / 300; the numbers before a
     tick come from its slice, those before a slice from the run.
     """
-    timed = _timed(df, ts, gap_seconds)
+    timed = _timed(df.where(F.col(key).isNotNull()), ts, gap_seconds)
     slices = _slices(timed.select(key, "_us", "_slice"), key, gap_seconds)
     ticks = timed.groupBy(key, "_slice", "_tick").agg(F.count("*").alias("_n"))
     in_slice = W.partitionBy(key, "_slice").orderBy("_tick")
@@ -95,12 +95,14 @@ def turn_counts(
         )
     )
     in_tick = W.partitionBy(key, "_slice", "_tick").orderBy("_us", tie)
-    return (
+    numbered = (
         timed.withColumn("_rank", F.row_number().over(in_tick))
         .join(offsets, [key, "_slice", "_tick"])
         .withColumn("turn_count", F.col("_offset") + F.col("_rank"))
         .drop("_us", "_slice", "_tick", "_rank", "_offset")
     )
+    alone = df.where(F.col(key).isNull()).withColumn("turn_count", F.lit(0).cast("bigint"))
+    return numbered.unionByName(alone, allowMissingColumns=True)
 
 
 def cache_stats(plans: DataFrame, gap_seconds: int = fv.SESSION_GAP_SECONDS) -> DataFrame:

@@ -1,60 +1,93 @@
-"""Running totals and session totals with event time and watermarks."""
+"""Totals and sessions of a stream, kept as parts that add up.
+
+A batch writes what its own rows come to into a folder of its own, so a batch that
+runs again replaces its part. Readers merge the parts: a row that arrives late counts
+where its event time belongs, the latest window and session are there at once, and
+nothing is dropped or held in executor state.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ctxlens import fixed_values as fv
+from ctxlens.operators.sessions import session_runs
 
+SUMS = ["requests", "original_tokens", "compressed_tokens", "cost_saved"]
 
-def windowed_totals(
-    metrics: DataFrame, *by: str, width: str = "1 hour", late: str = "10 minutes"
-) -> DataFrame:
-    """Requests, tokens and savings per time window; rows later than `late` are dropped."""
-    return (
-        metrics.withWatermark("ts", late)
-        .groupBy(F.window("ts", width), *by)
-        .agg(
-            F.count("*").alias("requests"),
-            F.sum("original_tokens").alias("original_tokens"),
-            F.sum("compressed_tokens").alias("compressed_tokens"),
-            F.sum("cost_saved").alias("cost_saved"),
-        )
-        .select(
-            F.col("window.start").alias("window_start"),
-            F.col("window.end").alias("window_end"),
-            *by,
-            "requests",
-            "original_tokens",
-            "compressed_tokens",
-            "cost_saved",
-            (F.col("original_tokens") - F.col("compressed_tokens")).alias("tokens_saved"),
+
+def _put(part: DataFrame, folder: str, batch_id: int) -> None:
+    part.write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
+
+
+def totals_writer(folder: str, *by: str, width: str = "1 hour") -> Callable[[DataFrame, int], None]:
+    """foreachBatch function: requests, tokens and savings per window and `by`."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        part = (
+            batch.withColumn("requests", F.lit(1).cast("bigint"))
+            .groupBy(F.window("ts", width), *by)
+            .agg(*[F.sum(c).alias(c) for c in SUMS])
+            .select(
+                F.col("window.start").alias("window_start"),
+                F.col("window.end").alias("window_end"),
+                *by, *SUMS,
+            )
         )
+        _put(part, folder, batch_id)
+
+    return write
+
+
+def windowed_totals(spark: SparkSession, folder: str, *by: str) -> DataFrame:
+    """All windows so far, from the parts that `totals_writer` has written."""
+    return (
+        spark.read.parquet(folder)
+        .groupBy("window_start", "window_end", *by)
+        .agg(*[F.sum(c).alias(c) for c in SUMS])
+        .withColumn("tokens_saved", F.col("original_tokens") - F.col("compressed_tokens"))
     )
 
 
+def session_writer(
+    folder: str, key: str, ts: str, gap_seconds: int = fv.SESSION_GAP_SECONDS
+) -> Callable[[DataFrame, int], None]:
+    """foreachBatch function: the session runs among the rows of each batch.
+
+    A hot session is summed in time slices before its rows meet (`session_runs`).
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        _put(session_runs(batch, key, ts, gap_seconds).drop("run"), folder, batch_id)
+
+    return write
+
+
 def session_totals(
-    stream: DataFrame,
-    key: str,
-    gap_seconds: int = fv.SESSION_GAP_SECONDS,
-    late: str = "10 minutes",
+    spark: SparkSession, folder: str, key: str, gap_seconds: int = fv.SESSION_GAP_SECONDS
 ) -> DataFrame:
-    """Session runs: (key, first_seen, last_seen, turn_count), emitted when closed.
+    """(key, first_seen, last_seen, turn_count) of all runs so far.
 
-    A hot session's rows are merged inside each task first when the session
-    setting named in `LOCAL_MERGE` is on.
+    Rows of one batch's run lie at most a gap apart, so runs of several batches are
+    one if they overlap or lie at most a gap apart. Only these summaries are sorted.
     """
+    parts = spark.read.parquet(folder)
+    lo, hi = F.unix_micros("first_seen"), F.unix_micros("last_seen")
+    order = W.partitionBy(key).orderBy("first_seen", "last_seen")
+    reached = F.max(hi).over(order.rowsBetween(W.unboundedPreceding, -1))
+    opens = F.coalesce((lo - reached > gap_seconds * 1_000_000).cast("int"), F.lit(1))
     return (
-        stream.withWatermark("ts", late)
-        .groupBy(F.session_window("ts", f"{gap_seconds} seconds"), key)
+        parts.withColumn("_opens", opens)
+        .withColumn("_run", F.sum("_opens").over(order.rowsBetween(W.unboundedPreceding, 0)))
+        .groupBy(key, "_run")
         .agg(
-            F.min("ts").alias("first_seen"),
-            F.max("ts").alias("last_seen"),
-            F.count("*").alias("turn_count"),
+            F.min("first_seen").alias("first_seen"),
+            F.max("last_seen").alias("last_seen"),
+            F.sum("turn_count").alias("turn_count"),
         )
-        .select(key, "first_seen", "last_seen", "turn_count")
+        .drop("_run")
     )
-
-
-LOCAL_MERGE = "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition"

@@ -86,10 +86,13 @@ def test_stream_state_continues_sessions(spark, tmp_path):
 def test_prefix_estimate(spark):
     rng = random.Random(1)
     chars = {f"r{i}": [rng.randrange(100) for _ in range(n)] for i, n in enumerate([1, 2, 3, 4, 200])}
+    chars |= {"empty": [5, 0, 7, 9], "empty opening": [0, 3, 3]}
     rows = [(r, i, c) for r, cs in chars.items() for i, c in enumerate(cs)]
     df = spark.createDataFrame(rows, "request_id string, msg_idx int, n_chars bigint")
     got = {r.request_id: (r.prefix_end_index, r.cached_tokens_estimate) for r in cache_plan.prefix_estimate(df).collect()}
-    assert got == {r: ((len(c) - 3, sum(c[:-2]) // 4) if len(c) > 2 else (-1, 0)) for r, c in chars.items()}
+    assert got == {
+        r: ((len(c) - 3 if c[-3] else -1, sum(c[:-2]) // 4) if len(c) > 2 else (-1, 0)) for r, c in chars.items()
+    }
 
 
 def test_costs_and_price_fallback(spark):

@@ -70,11 +70,12 @@ def test_summary_rules(texts):
         "x" * 5000,
         " \n\t\n",
     ]
-    want = []
-    for r in rows:
-        head = r.replace("\r\n", "\n").replace("\r", "\n")[:2048].splitlines()[:20]
-        want.append(" ".join(x.strip() for x in head if x.strip()))
-    assert _eval(texts(*rows), text.file_summary(F.col("text"))) == want
+    for chars, lines in ((2048, 20), (None, None), (100, None), (None, 3)):
+        want = []
+        for r in rows:
+            head = r.replace("\r\n", "\n").replace("\r", "\n")[:chars].splitlines()[:lines]
+            want.append(" ".join(x.strip() for x in head if x.strip()))
+        assert _eval(texts(*rows), text.file_summary(F.col("text"), chars, lines)) == want
 
 
 def test_tool_input_paths(spark):
