@@ -149,12 +149,12 @@ def cosine_scores(vectors: DataFrame, query_vector: Column, size: int | None = N
     compared in Arrow batches. Either way a vector that is null, holds a null or has
     another length than the query is kept with a null score.
     """
+    vectors = vectors.withColumn("_query", query_vector)
     if size is None:
-        vectors = vectors.withColumn("_query", query_vector)
         score = cosine(F.col("embedding"), F.col("_query"))
     else:
-        both = _whole(F.col("embedding"), size) & _whole(query_vector, size)
-        score = F.arrow_udf(_cosine, "double")(F.when(both, F.col("embedding")), query_vector)
+        both = _whole(F.col("embedding"), size) & _whole(F.col("_query"), size)
+        score = F.arrow_udf(_cosine, "double")(F.when(both, F.col("embedding")), F.col("_query"))
     vectors = vectors.withColumn("score", score)
     clipped = F.when(F.col("score").isNotNull(), F.greatest(F.lit(0.0), F.col("score")))
     return vectors.select("path", clipped.alias("score"))

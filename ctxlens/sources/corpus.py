@@ -12,6 +12,23 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def _is_hidden(path: str) -> bool:
+    """Whether Spark's file readers pass over a file; folders of metadata they enter."""
+
+    def passed_over(name: str) -> bool:
+        return (
+            name.startswith(".")
+            or (name.startswith("_") and "=" not in name)
+            or name.endswith("._COPYING_")
+        )
+
+    *folders, file = path.split("/")
+    entered = ("_metadata", "_common_metadata")
+    return passed_over(file) or any(
+        passed_over(f) and not f.startswith(entered) for f in folders
+    )
+
+
 def _hidden_names(root: str, glob: str):
     """Task that lists, by name only, the files Spark's readers take for hidden."""
 
@@ -24,7 +41,7 @@ def _hidden_names(root: str, glob: str):
                 n
                 for n in names
                 if fnmatch.fnmatch(n.rsplit("/", 1)[-1], glob)
-                and any(p[0] in "._" for p in n.split("/"))
+                and _is_hidden(n)
             ]
             if hidden:
                 yield pd.DataFrame({"path": hidden})

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ctxlens.operators import cache_plan, ranking, sessions
 from ctxlens.operators.ranking import Query
+from ctxlens.sources.corpus import read_code
 from ctxlens.streaming import totals
 
 
@@ -88,3 +89,12 @@ def test_stream_totals_take_late_rows(spark, tmp_path):
         .collect()
     )
     assert got == [(0, 2, 36), (90_000, 1, 18)]
+
+
+def test_every_file_of_a_tree_is_read_once(spark, tmp_path):
+    names = ["a.py", "_b.py", "__init__.py", "_p=1/a.py", "_q=2.py", "_c/d.py", ".e/f.py", "_metadata.py", "_metadata/z.py", "g/_h=1/_i.py"]
+    for n in names:
+        (tmp_path / n).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / n).write_text(n)
+    got = sorted((r.path, r.content) for r in read_code(spark, str(tmp_path), "r").collect())
+    assert got == sorted((n, n) for n in names)
