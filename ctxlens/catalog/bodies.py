@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ctxlens import adapters as ad
@@ -10,8 +12,10 @@ from ctxlens.catalog.chats import HEADER, PRICES
 from ctxlens.functions import variants as V
 from ctxlens.operators import accounting, cache_plan, messages, policy, sessions
 from ctxlens.plans.compaction import Options, compact
+from ctxlens.runtime import ensure_checkpoint_dir
 from ctxlens.sources.pricing import default_pricing
-from ctxlens.sources.request_log import parse_bodies
+from ctxlens.sources.request_log import parse_bodies, read_log
+from ctxlens.sources.sinks import write_bodies
 
 CATALOG = Catalog()
 
@@ -48,6 +52,27 @@ def log_parse(spark, sf):
     return _parsed(spark, sf).select("request_id", "corrupt", "raw_body")
 
 
+@CATALOG.add(
+    f"""WITH {REQ} SELECT request_id, CAST(turn AS INT) AS minute, corrupt, CASE WHEN corrupt THEN '{{broken' END AS raw_body FROM req
+    UNION ALL SELECT NULL, NULL, true, 'no json ' || conv_id FROM conversations WHERE turn = 0"""
+)
+def log_file_parse(spark, sf):
+    """The log as compressed JSON lines, some lines of it no JSON."""
+    where = f"{ensure_checkpoint_dir(spark)}/log-{uuid.uuid4().hex}"
+    lines = ad.request_bodies(spark, sf).select(
+        F.to_json(F.struct("request_id", "ts", "endpoint", "headers", "body")).alias("value")
+    )
+    odd = ad.table(spark, sf, "conversations").where("turn = 0").select(
+        F.concat(F.lit("no json "), "conv_id").alias("value")
+    )
+    lines.unionByName(odd).write.option("compression", "gzip").text(where)
+    conv = F.split_part("request_id", F.lit("-"), F.lit(1)).cast("bigint")
+    minute = (F.unix_seconds("ts") - 1_700_000_000 - conv * 600) / 60
+    return parse_bodies(read_log(spark, where)).select(
+        "request_id", minute.cast("int").alias("minute"), "corrupt", "raw_body"
+    )
+
+
 @CATALOG.add(
     f"""WITH {REQ} SELECT request_id, api, model,
     CAST(CASE WHEN hollow THEN 0 WHEN api <> 'responses' THEN 6 WHEN plain_input THEN 1 ELSE 4 END AS INT) AS n_items
@@ -330,6 +355,22 @@ def request_metrics(spark, sf):
     return rows.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
+@CATALOG.add(
+    f"""WITH {REQ}, {EDIT}, {METRICS}, again AS (SELECT * FROM metrics UNION ALL SELECT * FROM metrics WHERE CAST(split_part(request_id, '-', 1) AS BIGINT) % 3 = 0)
+    SELECT {METRIC_COLUMNS.replace('ts AT TIME ZONE', 'ts AT TIME ZONE')} FROM again"""
+)
+def retried_metrics(spark, sf):
+    """A log in which retries keep their request's id, and token counts are asked for in between."""
+    first = ad.request_bodies(spark, sf)
+    retried = first.where(F.split_part("request_id", F.lit("-"), F.lit(1)).cast("bigint") % 3 == 0)
+    counted = first.where("endpoint = '/v1/messages'").withColumn(
+        "endpoint", F.lit("/v1/messages/count_tokens")
+    )
+    log = first.unionByName(retried).unionByName(counted)
+    rows = compact(parse_bodies(log)).request_metrics()
+    return rows.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
 @CATALOG.add(
     f"""WITH {PRICES}, {REQ}, {EDIT}, {METRICS} SELECT metrics.model, policy, CAST(count(*) AS BIGINT) AS requests,
     CAST(sum(original_tokens) AS BIGINT) AS original_tokens, CAST(sum(compressed_tokens) AS BIGINT) AS compressed_tokens,
@@ -381,13 +422,25 @@ def request_block_counts(spark, sf):
     return compact(_parsed(spark, sf)).block_counts()
 
 
-@CATALOG.add(
-    f"""WITH {REQ}, {EDIT} SELECT request_id, small AS last_text,
+REWRITTEN = f"""WITH {REQ}, {EDIT} SELECT request_id, small AS last_text,
     CASE WHEN tools THEN CASE WHEN api = 'messages' THEN py ELSE note END END AS first_result,
     CAST(6 AS INT) AS n_items FROM done WHERE api <> 'responses'"""
-)
+
+
+@CATALOG.add(REWRITTEN)
 def rewritten_bodies(spark, sf):
-    out = compact(_parsed(spark, sf)).rewritten_bodies()
+    return _shown(compact(_parsed(spark, sf)).rewritten_bodies())
+
+
+@CATALOG.add(REWRITTEN)
+def bodies_roundtrip(spark, sf):
+    """Rewritten bodies as JSON lines, read back as a log."""
+    where = f"{ensure_checkpoint_dir(spark)}/bodies-{uuid.uuid4().hex}"
+    write_bodies(compact(_parsed(spark, sf)).rewritten_bodies(), where)
+    return _shown(parse_bodies(read_log(spark, where)))
+
+
+def _shown(out):
     items = V.as_list(V.field(F.col("body"), "messages"))
     return out.where(V.field(F.col("body"), "messages").isNotNull()).select(
         "request_id",

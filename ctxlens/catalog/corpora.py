@@ -10,11 +10,11 @@ from ctxlens import adapters as ad
 from ctxlens import fixed_values as fv
 from ctxlens.catalog import Catalog
 from ctxlens.functions.text import embedding_text
-from ctxlens.operators import imports, ranking
+from ctxlens.operators import active_files, imports, messages, ranking
 from ctxlens.operators.ranking import Query
 from ctxlens.runtime import ensure_checkpoint_dir
 from ctxlens.sources.commit_log import read_commit_log
-from ctxlens.sources.corpus import module_name, read_code
+from ctxlens.sources.corpus import module_name, read_code, read_vectors
 
 CATALOG = Catalog()
 AS_OF = "2024-03-01 00:00:00"
@@ -153,13 +153,54 @@ def keyword_boost(spark, sf):
     return ranking.boosted_files(_scores(spark, sf))
 
 
+# Questions of a table: the opening message of each conversation, or its last user message.
+ASKED = f"""
+{SUMMARIES},
+hay AS (SELECT path, lower(name || ' ' || summary) AS hay FROM summ),
+asked AS (SELECT query_id, unnest(words) AS word, len(words) AS n FROM (
+  SELECT query_id, list_distinct(list_filter(regexp_split_to_array(replace(lower(text), '.', ' '), '\\s+'), lambda w: w <> '')) AS words FROM questions)),
+hits AS (SELECT word, path FROM (SELECT DISTINCT word FROM asked) JOIN hay ON contains(hay, word)),
+rel AS (SELECT query_id, path, count(*) / any_value(CAST(n AS DOUBLE)) AS score FROM asked JOIN hits USING (word) GROUP BY 1, 2)"""
+OPENINGS = "questions AS (SELECT conv_id AS query_id, text FROM conversations WHERE turn = 0)"
+LAST_ASKED = """questions AS (SELECT conv_id AS query_id, max_by(text, turn) AS text FROM conversations
+  WHERE role = 'user' GROUP BY 1)"""
+
+
+@CATALOG.add(
+    f"""WITH {OPENINGS}, {ASKED} SELECT query_id, 'demo' AS repo, path, round(score, 6) AS score, CAST(n AS INT) AS rank_no
+    FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path) AS n FROM rel) WHERE n <= 5"""
+)
+def question_topk(spark, sf):
+    """Best files of every conversation's opening, questions as a table."""
+    questions = ad.table(spark, sf, "conversations").where("turn = 0").select(
+        F.col("conv_id").alias("query_id"), "text"
+    )
+    scores = ranking.keyword_matches(ranking.summaries(ad.document_files(spark, sf)), questions)
+    return ranking.top_k(scores, fv.RANK_TOP_K, "query_id").withColumn("score", F.round("score", 6))
+
+
+@CATALOG.add(
+    f"""WITH {LAST_ASKED}, {ASKED} SELECT query_id AS request_id, CAST(count(DISTINCT lower(regexp_extract(path, '[^/]*$'))) AS BIGINT) AS files
+    FROM rel WHERE score >= 0.5 GROUP BY 1"""
+)
+def boosted_active_files(spark, sf):
+    """Active files of each conversation: none is named, so all come from its last question."""
+    msgs = ad.chat_messages(spark, sf)
+    questions = messages.last_user_text(msgs).withColumnRenamed("request_id", "query_id")
+    scores = ranking.keyword_matches(ranking.summaries(ad.document_files(spark, sf)), questions)
+    boosted = ranking.boosted_files(scores).withColumnRenamed("query_id", "request_id")
+    return active_files.active_files(msgs, boosted).groupBy("request_id").agg(
+        F.count("*").alias("files")
+    )
+
+
 COSINE = """
 q AS (SELECT CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id = 0),
 cos AS (SELECT vec_id AS path, greatest(0.0, list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT v FROM q))) AS score FROM embeddings)"""
 
 
 def _cosines(spark, sf, size=64):
-    vectors = ad.table(spark, sf, "embeddings").select(F.col("vec_id").alias("path"), "embedding")
+    vectors = read_vectors(spark, f"{sf}/embeddings.parquet", "vec_id", "embedding")
     query = vectors.where("path = 0").select("embedding").scalar()
     return ranking.cosine_scores(vectors, query, size)
 

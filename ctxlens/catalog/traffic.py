@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ctxlens import adapters as ad
 from ctxlens.catalog import Catalog
 from ctxlens.catalog.chats import PRICES
 from ctxlens.operators import accounting, sessions, tool_reads
-from ctxlens.sources.pricing import default_pricing
+from ctxlens.runtime import ensure_checkpoint_dir
+from ctxlens.sources.pricing import default_pricing, read_pricing
+from ctxlens.sources.sinks import append_by_day
 
 CATALOG = Catalog()
 GAP = 6 * 3600
@@ -173,3 +177,38 @@ def cost_by_model_and_day(spark, sf):
         "model", "day", "requests", "original_tokens", "compressed_tokens", "tokens_saved",
         F.round("cost_saved", 8).alias("cost_saved"),
     )
+
+
+# --- files read and written -----------------------------------------------------------
+
+
+@CATALOG.add(
+    """SELECT 'p' || p_partkey AS model, CASE WHEN p_partkey % 7 = 0 THEN 3.0 ELSE CAST(p_size AS DOUBLE) END AS input,
+    CASE WHEN p_partkey % 11 = 0 THEN 15.0 ELSE p_retailprice END AS output FROM part"""
+)
+def price_file(spark, sf):
+    """part as a price list with gaps, which take the default price."""
+    where = f"{ensure_checkpoint_dir(spark)}/prices-{uuid.uuid4().hex}"
+    key = F.col("p_partkey")
+    ad.table(spark, sf, "part").select(
+        F.concat(F.lit("p"), key).alias("model"),
+        F.when(key % 7 != 0, F.col("p_size").cast("double")).alias("input"),
+        F.when(key % 11 != 0, F.col("p_retailprice")).alias("output"),
+    ).write.option("header", "true").csv(where)
+    return read_pricing(spark, where)
+
+
+@CATALOG.add(
+    """SELECT strftime(ts, '%Y-%m-%d') AS day, CAST(count(*) AS BIGINT) AS facts, CAST(sum(event_id) AS BIGINT) AS ids,
+    round(sum(value), 4) AS total FROM events GROUP BY 1"""
+)
+def daily_facts(spark, sf):
+    """events appended to a table by day in two runs and read back."""
+    where = f"{ensure_checkpoint_dir(spark)}/facts-{uuid.uuid4().hex}"
+    facts = ad.table(spark, sf, "events").select("event_id", "ts", "value")
+    for part in (0, 1):
+        append_by_day(facts.where(F.col("event_id") % 2 == part), where)
+    return spark.read.parquet(where).groupBy(F.col("day").cast("string").alias("day")).agg(
+        F.count("*").alias("facts"), F.sum("event_id").alias("ids"),
+        F.round(F.sum("value"), 4).alias("total"),
+    )

@@ -114,7 +114,7 @@ def requests(parsed: DataFrame) -> DataFrame:
     once; policies, cache plans, messages and parts all read the typed columns.
     """
     default = F.create_map(*[F.lit(x) for kv in fv.DEFAULT_MODEL.items() for x in kv])
-    passed = [c for c in ("ts", "endpoint", "headers") if c in parsed.columns]
+    passed = [c for c in ("ts", "endpoint", "headers", "given_id") if c in parsed.columns]
     one_user = F.array(
         F.to_variant_object(
             F.struct(F.lit("user").alias("role"), F.col("b.input").alias("content"))

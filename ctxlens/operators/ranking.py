@@ -14,11 +14,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ctxlens import fixed_values as fv
-from ctxlens.functions.once import once_if
+from ctxlens.functions.once import once, once_if
 from ctxlens.functions.text import base_name, file_key, file_summary, query_words
 from ctxlens.operators.imports import neighbourhood
 
 QUERIES_PER_SCAN = 64
+GRAM = 4
 
 
 @dataclass(frozen=True)
@@ -109,6 +110,43 @@ def keyword_scores(summary_rows: DataFrame, queries: Sequence[Query]) -> DataFra
     return out
 
 
+def _grams(token: Column, size: int) -> Column:
+    """Distinct substrings of up to `size` characters; one pass over the token per length."""
+    runs = [F.regexp_extract_all(token, F.lit(f"(?s)(?=(.{{{n}}}))"), 1) for n in range(1, size + 1)]
+    return F.array_distinct(F.concat(*runs))
+
+
+def keyword_matches(summary_rows: DataFrame, questions: DataFrame, gram: int = GRAM) -> DataFrame:
+    """(query_id, repo, path, score) of the files that hold a word of a question, scores above 0.
+
+    `questions` is a table (query_id, text) of any size; rows of one query_id are one
+    question each and must not repeat. Scores are those of `keyword_scores`. A word has
+    no separator in it, so it occurs in a file if it occurs in one of its tokens:
+    distinct words meet distinct tokens on the word's first characters, and only pairs
+    that hold go on to the files. The corpus is scanned twice, whatever the number of
+    questions.
+    """
+    asked = questions.select("query_id", once(query_words(F.col("text"))).alias("_words")).select(
+        "query_id", F.size("_words").alias("_n"), F.explode("_words").alias("word")
+    )
+    words = asked.select("word").distinct().withColumn("_gram", F.substring("word", 1, gram))
+    held = summary_rows.select(
+        "repo", "path", F.explode(query_words(haystack(F.col("path"), F.col("summary")))).alias("token")
+    )
+    tokens = held.select("token").distinct().select("token", F.explode(_grams(F.col("token"), gram)).alias("_gram"))
+    pairs = (
+        words.join(tokens, "_gram")
+        .where(F.contains("token", "word"))
+        .select("word", "token")
+    )
+    found = held.join(pairs, "token").select("repo", "path", "word").distinct()
+    return (
+        found.join(asked, "word")
+        .groupBy("query_id", "repo", "path")
+        .agg((F.count("*") / F.first("_n")).alias("score"))
+    )
+
+
 def _cosine(vectors: pa.Array, query: pa.Array) -> pa.Array:
     """Cosine of each vector with the query vector of its row, in double; null for null."""
 

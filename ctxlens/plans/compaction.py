@@ -18,7 +18,7 @@ from ctxlens.functions.once import once
 from ctxlens.functions.text import language_of, splice_blocks, strip
 from ctxlens.functions.tokens import Counter, heuristic_tokens
 from ctxlens.operators import active_files as act
-from ctxlens.operators import accounting, cache_plan, messages, policy, tool_reads
+from ctxlens.operators import accounting, cache_plan, messages, policy, ranking, tool_reads
 from ctxlens.operators.skeletons import skeletons
 from ctxlens.runtime import stage
 
@@ -36,6 +36,7 @@ class Options:
     keep_docstrings: bool = False
     keep_class_attrs: bool = True
     require_smaller: bool = False
+    boost_threshold: float = fv.BOOST_THRESHOLD
     skeleton_header: str | None = None
     note: str = "[stale result of `{file}` replaced by its skeleton: a newer read follows]\n"
     bare_note: str = "[stale result replaced by its skeleton]\n"
@@ -165,20 +166,43 @@ def reduced_results(
 
 @dataclass(frozen=True)
 class Compaction:
-    """Tables of one run; each is lazy, so unused ones cost nothing."""
+    """Tables of one run; each is lazy, so unused ones cost nothing.
+
+    A log may repeat a request id (a retry keeps it) or lack it. Inside a run
+    `request_id` is therefore a number of the log row, and `given_id` of `requests`
+    the id as logged; all other tables that come out have the logged one.
+    """
 
     requests: DataFrame
-    units: DataFrame
-    blocks: DataFrame
-    results: DataFrame
-    bodies: DataFrame
+    keyed_units: DataFrame
+    keyed_blocks: DataFrame
+    keyed_results: DataFrame
+
+    def _named(self, rows: DataFrame) -> DataFrame:
+        """`rows` with the logged request ids."""
+        others = [c for c in rows.columns if c != "request_id"]
+        return rows.join(self.requests.select("request_id", "given_id"), "request_id").select(
+            F.col("given_id").alias("request_id"), *others
+        )
+
+    @property
+    def units(self) -> DataFrame:
+        return self._named(self.keyed_units)
+
+    @property
+    def blocks(self) -> DataFrame:
+        return self._named(self.keyed_blocks)
+
+    @property
+    def results(self) -> DataFrame:
+        return self._named(self.keyed_results)
 
     def block_counts(self) -> DataFrame:
         """total_blocks and skeletonized_blocks per request, result texts included."""
-        both = self.blocks.select("request_id", "was_compressed").unionByName(
-            self.results.select("request_id", "was_compressed")
+        both = self.keyed_blocks.select("request_id", "was_compressed").unionByName(
+            self.keyed_results.select("request_id", "was_compressed")
         )
-        return act.block_counts(both)
+        return self._named(act.block_counts(both))
 
     def request_metrics(self, tokens: Counter = heuristic_tokens) -> DataFrame:
         """Tokens before and after per request, plus tokens saved in tool results.
@@ -189,22 +213,22 @@ class Compaction:
         after_overhead = (
             F.col("n_sent") * fv.TOKENS_PER_MESSAGE + fv.TOKENS_PER_REPLY
         )
-        counted = self.units.groupBy("request_id").agg(
+        counted = self.keyed_units.groupBy("request_id").agg(
             F.sum(F.when(F.col("counted_before"), tokens(F.col("text")))).alias("_before"),
             F.sum(tokens(F.col("new_text"))).alias("_after"),
         )
-        in_results = self.results.groupBy("request_id").agg(
+        in_results = self.keyed_results.groupBy("request_id").agg(
             F.sum(tokens(F.col("text")) - tokens(F.col("new_text"))).alias("_results")
         )
         kept = [c for c in ("ts",) if c in self.requests.columns]
         zero = F.lit(0).cast("bigint")
         return (
             self.requests.where(F.col("api") != "other")
-            .select("request_id", *kept, "model", "policy", "n_counted", "n_sent")
+            .select("request_id", "given_id", *kept, "model", "policy", "n_counted", "n_sent")
             .join(counted, "request_id", "left")
             .join(in_results, "request_id", "left")
             .select(
-                "request_id",
+                F.col("given_id").alias("request_id"),
                 *kept,
                 "model",
                 "policy",
@@ -222,10 +246,10 @@ class Compaction:
         Only changed texts are gathered, per request: no more than one body holds.
         """
         changed = F.col("new_text") != F.col("text")
-        in_units = self.units.where(changed).select(
+        in_units = self.keyed_units.where(changed).select(
             "request_id", "msg_idx", "part_idx", F.lit(-1).alias("sub_idx"), "new_text"
         )
-        in_results = self.results.where(changed).select(
+        in_results = self.keyed_results.where(changed).select(
             "request_id", "msg_idx", "part_idx", "sub_idx", "new_text"
         )
         edits = (
@@ -237,11 +261,9 @@ class Compaction:
                 )
             )
         )
-        full = cache_plan.marked_bodies(
-            self.requests.join(self.bodies, "request_id"), F.col("is_planned")
-        )
+        full = cache_plan.marked_bodies(self.requests, F.col("is_planned"))
         return full.join(edits, "request_id", "left").select(
-            "request_id",
+            F.col("given_id").alias("request_id"),
             F.when(F.col("edits").isNull(), F.col("body")).otherwise(_edited_body()).alias("body"),
         )
 
@@ -315,7 +337,16 @@ def _edited_body() -> Column:
     )
 
 
-def compact(parsed: DataFrame, options: Options = Options()) -> Compaction:
+def relevant_files(msgs: DataFrame, corpus: DataFrame, threshold: float) -> DataFrame:
+    """boosted(request_id, file_key): files of the corpus that suit a request's last question."""
+    questions = messages.last_user_text(msgs).withColumnRenamed("request_id", "query_id")
+    scores = ranking.keyword_matches(ranking.summaries(corpus), questions)
+    return ranking.boosted_files(scores, threshold).withColumnRenamed("query_id", "request_id")
+
+
+def compact(
+    parsed: DataFrame, options: Options = Options(), corpus: DataFrame | None = None
+) -> Compaction:
     """Plan, compact and guard all requests of a parsed log.
 
     Cache plans come first, on the bodies as logged. Messages up to the end of a
@@ -323,12 +354,18 @@ def compact(parsed: DataFrame, options: Options = Options()) -> Compaction:
     Policy and prefix end are computed on the request row and carried along when
     messages are taken apart, so they cost no join.
 
-    The typed requests are written once to the shared checkpoint folder: JSON is
-    taken apart in one pass, and each operator then reads only the columns it needs.
-    Rewritten bodies, if asked for, are made from the log itself.
+    With a corpus, code_files(repo, path, content), files that suit a request's last
+    question are active too.
+
+    The numbered and typed requests are written once to the shared checkpoint folder:
+    JSON is taken apart in one pass, and each operator then reads only the columns it
+    needs. Only rewritten bodies read the body column.
     """
+    numbered = parsed.withColumn("given_id", F.col("request_id")).withColumn(
+        "request_id", F.monotonically_increasing_id()
+    )
     reqs = policy.request_policy(
-        messages.requests(parsed), options.passthrough, options.compress_with_tools
+        messages.requests(numbered), options.passthrough, options.compress_with_tools
     )
     cached = (F.col("api") == "messages") & F.lit(
         options.plan_cache and not options.passthrough
@@ -353,7 +390,7 @@ def compact(parsed: DataFrame, options: Options = Options()) -> Compaction:
         .withColumn("n_sent", F.when(responses, n_after).otherwise(F.size(items)))
         .withColumn("is_planned", cached)
         .withColumn("markers", F.when(cached, F.col("markers")).otherwise(no_markers))
-        .drop("body", "headers"),
+        .drop("headers"),
         "requests",
     )
 
@@ -366,7 +403,13 @@ def compact(parsed: DataFrame, options: Options = Options()) -> Compaction:
     open_units = units.where(
         F.col("editable") & (F.col("policy") != "none") & ~F.col("is_skipped")
     )
-    active = act.active_files(msgs.where(~F.col("is_skipped")))
+    spoken = msgs.where(~F.col("is_skipped"))
+    boosted = None
+    if corpus is not None:
+        boosted = relevant_files(
+            spoken.where(F.col("policy") != "none"), corpus, options.boost_threshold
+        )
+    active = act.active_files(spoken, boosted)
     block_rows = reduced_blocks(open_units, active, options)
     spliced = (
         spliced_units(units, block_rows)
@@ -381,6 +424,4 @@ def compact(parsed: DataFrame, options: Options = Options()) -> Compaction:
     results = reduced_results(part_rows, stale, options).withColumn(
         "new_text", F.when(guard, F.col("text")).otherwise(F.col("new_text"))
     )
-    return Compaction(
-        requests, spliced, block_rows, results, parsed.select("request_id", "body")
-    )
+    return Compaction(requests, spliced, block_rows, results)

@@ -32,19 +32,18 @@ def parse_bodies(log: DataFrame, raw: str = "body") -> DataFrame:
     """Replace a text column by `body VARIANT` and a `corrupt` flag.
 
     An empty or missing text is the empty object. Text that is no JSON object
-    gives `corrupt = true` and keeps its text in `raw_body`; it is not dropped.
+    gives `corrupt = true` and keeps its text in `raw_body`; it is not dropped, and
+    neither is a log line that is not JSON.
     """
     text = F.when(F.coalesce(F.col(raw), F.lit("")) == "", "{}").otherwise(F.col(raw))
     kept = [c for c in log.columns if c not in (raw, "_corrupt_record")]
-    unread = (
-        F.col("_corrupt_record").isNotNull()
-        if "_corrupt_record" in log.columns
-        else F.lit(False)
+    line = (
+        F.col("_corrupt_record") if "_corrupt_record" in log.columns else F.lit(None).cast("string")
     )
     parsed = log.select(
         *kept,
-        F.col(raw).alias("raw_body"),
-        unread.alias("_unread"),
+        F.coalesce(line, F.col(raw)).alias("raw_body"),
+        line.isNotNull().alias("_unread"),
         once(F.try_parse_json(text)).alias("body"),
     )
     bad = F.col("_unread") | ~F.coalesce(V.is_object(F.col("body")), F.lit(False))
