@@ -11,6 +11,7 @@ from __future__ import annotations
 import ast
 import re
 import textwrap
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -74,24 +75,114 @@ def _bare_python(code: str, docs: bool, attrs: bool) -> str:
     return ast.unparse(ast.fix_missing_locations(tree))
 
 
-class _Signature:
-    """Leftmost match of one pattern at or after a moving position.
+# Every signature ends in a list in round brackets and, after it, one of these.
+_GO_REST = re.compile(r"\)[A-Za-z_0-9\[\]*\s]*+\{")
+_GO_RECEIVER_REST = re.compile(r"\)\s++[A-Za-z_0-9]++\s*+\(")
+_RUST_REST = re.compile(r"\)\s*+(?:->[^{]++)?\{")
+_GENERIC_REST = re.compile(r"\)\s*+(?::[A-Za-z_0-9\[\]*.<>?\s]++)?(?:->[A-Za-z_0-9\[\]*.<>?\s]++)?\{")
+_NAME = re.compile(r"[A-Za-z_0-9]++\s*+\(")
+_SPACE = re.compile(r"\s++")
+_GO_WORD = re.compile(r"func(?=\s)")
+_RUST_WORD = re.compile(r"fn(?=\s)")
+_PLAIN_RUN = re.compile(r"[A-Za-z_0-9\[\]*.<>?\s]++")
+_WORD_END = re.compile(r"[A-Za-z_0-9]\Z")
+
+
+class _Rests:
+    """Ends of what follows the first closing bracket at or after a place, each matched once."""
+
+    def __init__(self, text: str, closings: list[int], rest: re.Pattern) -> None:
+        self._text, self._closings, self._rest = text, closings, rest
+        self._ends: dict[int, int | None] = {}
+
+    def end(self, pos: int) -> int | None:
+        i = bisect_left(self._closings, pos)
+        if i == len(self._closings):
+            return None
+        if i not in self._ends:
+            match = self._rest.match(self._text, self._closings[i])
+            self._ends[i] = match.end() if match else None
+        return self._ends[i]
+
+
+def _space_before(text: str, pos: int) -> int:
+    while pos and text[pos - 1].isspace():
+        pos -= 1
+    return pos
+
+
+Region = tuple[int, int, int]
 
-    A match may start at the position itself or at a later line start. The line
-    start found last is kept until the position passes it, so a text is searched
-    once per pattern and not once per function.
-    """
 
-    def __init__(self, pattern: str, text: str) -> None:
-        self._here = re.compile(pattern, re.MULTILINE)
-        self._lines = re.compile("^" + pattern, re.MULTILINE)
-        self._text = text
-        self._ahead = self._lines.search(text)
+def _go_regions(text: str, closings: list[int]) -> Iterator[Region]:
+    receivers, lists = (_Rests(text, closings, r) for r in (_GO_RECEIVER_REST, _GO_REST))
+    for word in _GO_WORD.finditer(text):
+        at = _SPACE.match(text, word.end()).end()
+        if text.startswith("(", at):
+            opened = receivers.end(at)
+        else:
+            name = _NAME.match(text, at)
+            opened = name.end() if name else None
+        end = lists.end(opened) if opened is not None else None
+        if end is not None:
+            yield _space_before(text, word.start()), word.start(), end
+
+
+def _rust_regions(text: str, closings: list[int]) -> Iterator[Region]:
+    lists = _Rests(text, closings, _RUST_REST)
+    for word in _RUST_WORD.finditer(text):
+        name = _NAME.match(text, _SPACE.match(text, word.end()).end())
+        end = lists.end(name.end()) if name else None
+        if end is None:
+            continue
+        before = _space_before(text, word.start())
+        if before < word.start() and text.endswith("pub", 0, before):
+            yield _space_before(text, before - 3), before - 3, end
+        yield before, word.start(), end
+
+
+def _generic_regions(text: str, closings: list[int]) -> Iterator[Region]:
+    lists = _Rests(text, closings, _GENERIC_REST)
+    for run in _PLAIN_RUN.finditer(text):
+        if not text.startswith("(", run.end()):
+            continue
+        last = _space_before(text, run.end()) - 1
+        # A name and something before it.
+        if last - 1 >= run.start() and _WORD_END.search(text, last, last + 1):
+            end = lists.end(run.end())
+            if end is not None:
+                yield run.start(), last - 1, end
+
+
+class _Places:
+    """Signatures of one kind, found without going over any part of the text twice.
+
+    A region (lo, hi, end) says that a signature whose body opens at `end` can start
+    anywhere from lo to hi; regions are in order and apart. A signature starts at the
+    position asked for or at a later line start.
+    """
 
-    def find(self, pos: int) -> re.Match | None:
-        if self._ahead and self._ahead.start() < pos:
-            self._ahead = self._lines.search(self._text, pos)
-        return self._here.match(self._text, pos) or self._ahead
+    def __init__(self, text: str, regions: Iterator[Region]) -> None:
+        self._regions = list(regions)
+        self._his = [hi for _, hi, _ in self._regions]
+        lined = [(self._line_start(text, lo, hi), end) for lo, hi, end in self._regions]
+        self._lined = [(start, end) for start, end in lined if start is not None]
+        self._starts = [start for start, _ in self._lined]
+
+    @staticmethod
+    def _line_start(text: str, lo: int, hi: int) -> int | None:
+        if lo == 0 or text[lo - 1] == "\n":
+            return lo
+        at = text.find("\n", lo, hi)
+        return at + 1 if at >= 0 else None
+
+    def find(self, pos: int) -> int | None:
+        """Index after the brace that opens the body of the leftmost signature."""
+        i = bisect_left(self._his, pos)
+        if i < len(self._his) and self._regions[i][0] <= pos:
+            return self._regions[i][2]
+        j = bisect_left(self._starts, pos)
+        return self._lined[j][1] if j < len(self._lined) else None
 
 
 _BRACE_TOKEN = re.compile(r"[{}\"']")
@@ -121,17 +212,18 @@ def _body_end(text: str, opening: int) -> int:
 
 def _bare_braces(code: str) -> str:
     searched = code[: code.rfind("{") + 1]
-    finders = [
-        _Signature(p, searched)
-        for p in (fv.GO_SIGNATURE, fv.RUST_SIGNATURE, fv.GENERIC_SIGNATURE)
+    closings = [m.start() for m in re.finditer(r"\)", searched)]
+    kinds = [
+        _Places(searched, regions(searched, closings))
+        for regions in (_go_regions, _rust_regions, _generic_regions)
     ]
     out, pos = [], 0
     while pos < len(searched):
-        match = next(filter(None, (f.find(pos) for f in finders)), None)
-        if match is None:
+        end = next((e for k in kinds if (e := k.find(pos)) is not None), None)
+        if end is None:
             break
-        out += [code[pos : match.end()], fv.BODY_PLACEHOLDER]
-        pos = _body_end(code, match.end() - 1)
+        out += [code[pos:end], fv.BODY_PLACEHOLDER]
+        pos = _body_end(code, end - 1)
     return "".join(out) + code[pos:]
 
 

@@ -1,6 +1,12 @@
+import random
+import re
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
+from ctxlens import fixed_values as fv
+from ctxlens.operators import skeletons as sk
 from ctxlens.operators.skeletons import HEADER, line_stats, skeleton_of, skeletons
 
 PY = '''
@@ -107,3 +113,46 @@ def test_hash_is_the_join_key(spark):
     df = spark.createDataFrame([("python", "a = 1")], "language string, code string")
     row = skeletons(df).select((F.col("code_hash") == F.sha2("code", 256)).alias("ok")).first()
     assert row.ok
+
+
+def _by_patterns(code):
+    """Brace skeletons by trying the three patterns at every line start."""
+    searched, out, pos = code[: code.rfind("{") + 1], [], 0
+    patterns = [fv.GO_SIGNATURE, fv.RUST_SIGNATURE, fv.GENERIC_SIGNATURE]
+    while pos < len(searched):
+        found = None
+        for pattern in patterns:
+            found = re.compile(pattern).match(searched, pos) or re.compile("^" + pattern, re.M).search(searched, pos)
+            if found:
+                break
+        if not found:
+            break
+        out += [code[pos : found.end()], fv.BODY_PLACEHOLDER]
+        pos = sk._body_end(code, found.end() - 1)
+    return "".join(out) + code[pos:]
+
+
+PIECES = [
+    "func ", "func", "fn ", "pub ", "pub\n", "f", "x1", "(", ")", "()", "(a, b)", "{", "}", " ", "\n", "\n  ", ":", " -> ",
+    "->", "int", "[]*", "'", '"', "=", "if", "\t", "func (r *T) m(a) e {", "pub fn g(a) -> i32 {", "static int k(int a) : T {", "\x1f",
+]
+
+
+def test_brace_skeletons_are_those_of_the_patterns():
+    pick, reduced = random.Random(7), 0
+    for _ in range(6000):
+        code = "".join(pick.choice(PIECES) for _ in range(pick.randint(1, 28)))
+        want = _by_patterns(code)
+        assert sk._bare_braces(code) == want, code
+        reduced += want != code
+    assert reduced > 500
+
+
+@pytest.mark.parametrize("line", [
+    "plain words of a text\n", "func a(\n", "func (\n", "fn a(\n", "a(\n", "f() : a\n", "f() -> a\n", "\n", "{ a b\n", "f(a) {\n", "pub\n", "\"{\n",
+])
+def test_long_texts_take_time_in_proportion(line):
+    code = line * (1_000_000 // len(line)) + ") {"
+    begun = time.process_time()
+    sk._bare_braces(code)
+    assert time.process_time() - begun < 10
