@@ -19,6 +19,16 @@ PY_CODE = "def step_{t}(x):\n    y = x + {c}\n    z = y * 2\n    return z\n"
 PY_SKELETON = "{header}\ndef step_{t}(x):\n    ..."
 JS_CODE = "function run{t}(a) {\n  const b = a + {c};\n  return b;\n}\n"
 JS_SKELETON = "{header}\nfunction run{t}(a) { ... \n"
+GO_CODE = "package p\n\nfunc (s *S) Run{t}(a int) int {\n\tb := a + {c}\n\treturn b\n}\n"
+GO_SKELETON = "{header}\npackage p\n\nfunc (s *S) Run{t}(a int) int { ... \n"
+RUST_CODE = "pub fn go{t}(a: i32) -> i32 {\n    let b = a + {c};\n    b\n}\n"
+RUST_SKELETON = "{header}\npub fn go{t}(a: i32) -> i32 { ... \n"
+CLASS_CODE = (
+    'class S{t}(B):\n    """Doc."""\n    rate: float = {c}.5\n\n    @once\n    def run(self):\n'
+    '        """Say."""\n        return {c}\n'
+)
+CLASS_SKELETON = "{header}\nclass S{t}(B):\n    rate: float = {c}.5\n\n    @once\n    def run(self):\n        ..."
+CLASS_DOCS = '{header}\nclass S{t}(B):\n    """Doc."""\n\n    @once\n    def run(self):\n        """Say."""\n        ...'
 CODED = (
     "{text}\nFix src/f{k}.py now\n## Module: web/g{k}.js\n"
     "# File: lib/f{t}.py\n```python\n" + PY_CODE + "```\nthen\n"

@@ -318,11 +318,11 @@ def _skeleton_sql(code: str, skeleton: str, language: str, before: int, after: i
     round(1.0 - {after} / CAST({before} AS DOUBLE), 6) AS ratio, true AS was_compressed FROM conversations"""
 
 
-def _skeleton_rows(spark, sf, code: str, language: str):
+def _skeleton_rows(spark, sf, code: str, language: str, **options):
     codes = ad.table(spark, sf, "conversations").select(
         F.lit(language).alias("language"), ad.fill(code, **ad.holes()).alias("code")
     )
-    done = skeletons(codes)
+    done = skeletons(codes, **options)
     hashes = done.select("code_hash", F.sha2("skeleton", 256).alias("skeleton_hash"), "language",
                          "original_lines", "skeleton_lines", "was_compressed")
     return line_stats(hashes.withColumn("skeleton", F.col("skeleton_hash"))).join(
@@ -340,6 +340,29 @@ def skeleton_cstyle(spark, sf):
     return _skeleton_rows(spark, sf, ad.JS_CODE, "javascript")
 
 
+@CATALOG.add(_skeleton_sql(ad.GO_CODE, ad.GO_SKELETON, "go", 6, 4))
+def skeleton_go(spark, sf):
+    return _skeleton_rows(spark, sf, ad.GO_CODE, "go")
+
+
+@CATALOG.add(_skeleton_sql(ad.RUST_CODE, ad.RUST_SKELETON, "rust", 4, 2))
+def skeleton_rust(spark, sf):
+    return _skeleton_rows(spark, sf, ad.RUST_CODE, "rust")
+
+
+@CATALOG.add(_skeleton_sql(ad.CLASS_CODE, ad.CLASS_SKELETON, "python", 8, 7))
+def skeleton_classes(spark, sf):
+    return _skeleton_rows(spark, sf, ad.CLASS_CODE, "python")
+
+
+@CATALOG.add(_skeleton_sql(ad.CLASS_CODE, ad.CLASS_DOCS, "python", 8, 8))
+def skeleton_class_docs(spark, sf):
+    """Docstrings kept, class attributes left out."""
+    return _skeleton_rows(
+        spark, sf, ad.CLASS_CODE, "python", keep_docstrings=True, keep_class_attrs=False
+    )
+
+
 PY = ad.fill_sql(ad.PY_CODE, **FILL)
 PY_S = ad.fill_sql(ad.PY_SKELETON, **FILL)
 JS = ad.fill_sql(ad.JS_CODE, **FILL)
