@@ -118,6 +118,10 @@ class Lines(HTMLParser):
         if tag not in INLINE:
             self._break()
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """`<![` of any kind is a comment up to the next `>`, as the HTML standard has it."""
+        return self.parse_bogus_comment(i, report)
+
     def handle_data(self, data: str) -> None:
         skipped, element, article = self._state()
         if not skipped:
@@ -136,11 +140,8 @@ def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
 def main_text(html: str | None, sigma: float = SIGMA) -> str:
     """The article's blocks, white space inside a block as one space, joined by one space."""
     parser = Lines()
-    try:
-        parser.feed(html or "")
-        parser.close()
-    except AssertionError:  # malformed declarations; what was read so far counts
-        pass
+    parser.feed(html or "")
+    parser.close()
     lines = [(" ".join("".join(t).split()), tags, e, a) for t, tags, e, a in parser.lines]
     lines = [x for x in lines if x[0]]
     if not lines:

@@ -295,6 +295,18 @@ def test_extract(spark):
     assert len(got) == 6 and all(r.n_chars == len(r.text) for r in got)
 
 
+def test_extract_reads_on_after_marked_sections():
+    """No '<![' ends a page, whatever follows it."""
+    for page, want in [
+        ("<p>one</p><![foo[x]]><p>two</p>", "one two"),
+        ("<p>one</p><![ endif]--><p>two</p>", "one two"),
+        ("<p>one</p><![endif]--><p>two</p><p>a[1]></p>", "one two a[1]>"),
+        ("<p>a <![1] b</p><p>c</p>", "a c"),
+        ("<p>one</p><![CDATA[x]]><p>two</p><![", "one two <!["),
+    ]:
+        assert extract.main_text(page) == want, page
+
+
 def test_packing(docs, no_docs):
     rows = packing.pack(docs, vocabulary_path(), size=64, with_ids=True).toPandas()
     for _, g in rows.sort_values(["sequence_id", "offset"]).groupby("sequence_id"):
