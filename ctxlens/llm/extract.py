@@ -2,10 +2,10 @@
 
 Events of the standard library's streaming parser make lines: a line ends where a
 block element begins or ends. A line's ratio is its text length per tag. Menus,
-forms, adverts and the like have no ratio. Ratios are smoothed by a Gaussian along the
-page; lines above the threshold cluster into content regions. A page that marks its
-article gives that region whole; otherwise the elements that hold the clusters are
-taken, so that short paragraphs between long ones stay.
+forms, adverts and the like have no ratio. Ratios are smoothed by a Gaussian along the page; lines above the threshold are content. The
+regions whose text is content for the most part are taken whole, so that short
+paragraphs between long ones stay. A region is an element, widened to the article or
+main around it if the page marks one; an article mark decides nothing else but ties.
 """
 
 from __future__ import annotations
@@ -69,6 +69,7 @@ class Lines(HTMLParser):
         self.open: list[tuple[str, bool, int, int]] = []  # tag, skipped, element, article
         self.lines: list[list] = [[[], 0, 0, 0]]
         self.elements = 0
+        self.marks: dict[int, int] = {}  # the next outer mark of each article mark
 
     def _state(self) -> tuple[bool, int, int]:
         return self.open[-1][1:] if self.open else (False, 0, 0)
@@ -99,6 +100,7 @@ class Lines(HTMLParser):
             if tag not in INLINE and tag not in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li"):
                 element = self.elements
             if tag in ("article", "main") or (named.get("role") or "").lower() in ("main", "article"):
+                self.marks[self.elements] = article
                 article = self.elements
             self.open.append((tag, skipped or _skips(tag, named), element, article))
         if tag not in INLINE:
@@ -142,21 +144,25 @@ def main_text(html: str | None, sigma: float = SIGMA) -> str:
     parser = Lines()
     parser.feed(html or "")
     parser.close()
-    lines = [(" ".join("".join(t).split()), tags, e, a) for t, tags, e, a in parser.lines]
+    lines = [(" ".join("".join(t).split()), tags, a or e) for t, tags, e, a in parser.lines]
     lines = [x for x in lines if x[0]]
     if not lines:
         return ""
-    if any(a for *_, a in lines):
-        return " ".join(text for text, _, _, a in lines if a)
-    ratios = np.array([len(text) / max(1, tags) for text, tags, _, _ in lines], float)
+    ratios = np.array([len(text) / max(1, tags) for text, tags, _ in lines], float)
     smooth = smoothed(ratios, sigma)
     content = smooth >= min(smooth.std(), smooth.max())
-    inside: dict[int, list[int]] = {}
-    for (text, _, element, _), good in zip(lines, content, strict=True):
-        held = inside.setdefault(element, [0, 0])
+    inside = {m: [0, 0] for m in parser.marks}
+    for (text, _, region), good in zip(lines, content, strict=True):
+        held = inside.setdefault(region, [0, 0])
         held[0] += len(text)
         held[1] += len(text) * bool(good)
-    return " ".join(text for text, _, e, _ in lines if 2 * inside[e][1] >= inside[e][0])
+    for m in sorted(parser.marks, reverse=True):  # a mark is judged with the marks within it
+        if outer := parser.marks[m]:
+            inside[outer][0] += inside[m][0]
+            inside[outer][1] += inside[m][1]
+    # The region with the most content is taken anyway, of equal ones an article's.
+    best = max({r for _, _, r in lines}, key=lambda r: (inside[r][1], r in parser.marks, -r))
+    return " ".join(text for text, _, r in lines if r == best or 2 * inside[r][1] >= inside[r][0])
 
 
 def extracted(pages: DataFrame) -> DataFrame:

@@ -307,6 +307,23 @@ def test_extract_reads_on_after_marked_sections():
         assert extract.main_text(page) == want, page
 
 
+STORY = "".join(f"<p>Part {i}. {'some more words here ' * 20}</p>" for i in range(8))
+
+
+def test_extract_teasers_are_not_the_story():
+    """A marked article does not stand in for the page's regions of content."""
+    teaser = "<article class=teaser><h3>Elsewhere</h3><p>A short teaser.</p><a href=x>More</a></article>"
+    for page in (
+        f"<body><div class=story><h1>Title</h1>{STORY}</div>{teaser}</body>",
+        f"<body>{teaser}{teaser}<div><h1>Title</h1>{STORY}</div></body>",
+        f"<body><main><div><h1>Title</h1>{STORY}</div>{teaser}</main></body>",
+    ):
+        text = extract.main_text(page)
+        assert all(f"Part {i}." in text for i in range(8)) and "Title" in text and "teaser" not in text
+    listed = f"<article>{STORY}{'<p>Short line.</p>' * 20}{STORY}</article>"
+    assert extract.main_text(listed).count("Short line.") == 20
+
+
 def test_packing(docs, no_docs):
     rows = packing.pack(docs, vocabulary_path(), size=64, with_ids=True).toPandas()
     for _, g in rows.sort_values(["sequence_id", "offset"]).groupby("sequence_id"):
