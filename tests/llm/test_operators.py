@@ -324,6 +324,26 @@ def test_extract_teasers_are_not_the_story():
     assert extract.main_text(listed).count("Short line.") == 20
 
 
+def test_extract_wrappers_are_read():
+    """Names drop boilerplate, not what wraps the story or a part of a token."""
+    menu = "<nav>" + "<a href=x>Menu entry</a>" * 9 + "</nav>"
+    for page in (
+        f"<div class='content has-sidebar'><article>{STORY}</article></div><div class='sidebar'><p>Menu</p></div>",
+        f"<div class='page-with-navbar'>{menu}<div>{STORY}</div></div>",
+        f"<form id=page>{menu}<article>{STORY}</article><button>Menu</button></form>",
+        f"<form>{menu}<div>{STORY}</div></form>",
+        f"<div class='header'><article>{STORY}</article></div><div class='cookie-notice'>Menu</div>",
+        f"<html><head><title>Menu</title><body>{menu}<div>{STORY}</div>",
+    ):
+        text = extract.main_text(page)
+        assert all(f"Part {i}." in text for i in range(8)) and "Menu" not in text, page[:60]
+    named = f"<article><h2 class='section-header'>Head</h2>{STORY}<p class='share-price'>Price</p></article>"
+    assert extract.main_text(named).startswith("Head Part 0.") and extract.main_text(named).endswith("Price")
+    beside = f"<article><h1>One</h1>{STORY}<div class='comments'>{STORY.replace('Part', 'Reply') * 2}</div></article>"
+    assert "Reply" not in extract.main_text(beside)
+    assert extract.main_text(f"<article><h1>One</h1></article><footer>{'Long words. ' * 9}</footer>") == "One"
+
+
 def test_packing(docs, no_docs):
     rows = packing.pack(docs, vocabulary_path(), size=64, with_ids=True).toPandas()
     for _, g in rows.sort_values(["sequence_id", "offset"]).groupby("sequence_id"):
