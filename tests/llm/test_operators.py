@@ -389,6 +389,33 @@ def test_licenses(spark, docs):
     assert licenses.scanned(docs, {"none": "!!"}).count() == 0
 
 
+def test_licenses_of_the_common_families(spark):
+    """Whole published texts and usual notices, alone and inside other words."""
+    whole = [n for n in licenses.TEMPLATES if n.endswith("-text")]
+    assert {"gpl-2.0-text", "lgpl-2.1-text", "mpl-2.0-text", "cc0-1.0-text", "unlicense-text", "bsd-3-clause-text"} <= set(whole)
+    worded = {
+        "mit-notice": "You may use it under the terms of the MIT license today",
+        "gpl-2.0-notice": "distributed under the GNU General Public License v2.0 as is",
+        "gpl-2.0": "under the terms of the GNU General Public License as published by the Free Software Foundation; "
+        "either version 2 of the License, or any later version",
+        "lgpl-2.1-notice": "under the terms of the GNU Lesser General Public License, version 2.1",
+        "agpl-3.0-notice": "It is licensed under the AGPLv3.",
+        "mpl-2.0-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+        "cc0-1.0-notice": "dedicated under CC0 1.0 Universal",
+        "cc-by-4.0-notice": "licensed under a Creative Commons Attribution 4.0 International License",
+        "cc-by-sa-4.0-notice": "available under the CC BY-SA 4.0 license",
+        "unlicense-notice": "released under the Unlicense",
+        "bsd-notice": "see it under a BSD-style license",
+    }
+    rng = random.Random(1)
+    filler = lambda n: " ".join(rng.choice("abcdefghij") * 3 for _ in range(n))
+    rows = [(i, f"{filler(333)} {licenses.TEMPLATES[n]} {filler(50)}") for i, n in enumerate(whole)]
+    rows += [(100 + i, f"{filler(61)} {t} {filler(9)}") for i, t in enumerate(worded.values())]
+    got = {(r.doc_id, r.license): r.containment for r in licenses.scanned(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got.get((i, n)) == 1.0 for i, n in enumerate(whole))
+    assert {k: v for k, v in got.items() if k[0] >= 100} == {(100 + i, n): 1.0 for i, n in enumerate(worded)}
+
+
 def test_url_lists(spark):
     day = lambda n: date(2024, 1, n)
     entries = [("bad.com", day(3), True), ("bad.com", day(8), False), ("bad.com", day(8), False), ("x.bad.com", day(5), True),
