@@ -3,7 +3,8 @@
 A text is cut before every single space, around runs of white space and where a word
 of Latin letters ends, places where byte-level BPE pre-tokenization always cuts too; so the pieces can be encoded alone
 and their ids kept in a bounded cache of each worker. Texts that hold characters on
-which Python's and the tokenizer's notions of white space differ are encoded whole.
+which Python's and the tokenizer's notions of white space differ are encoded whole, and
+so are texts that hold an added token such as `<|endoftext|>`, which has one id.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.cache: dict[str, bytes] = {}
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def _encoded(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -35,7 +36,10 @@ class Encoder:
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit numbers; none for null."""
-        cut = [[] if not t else [t] if _ODD.search(t) else _PIECES.findall(t) for t in texts]
+        cut = [
+            [] if not t else [t] if _ODD.search(t) or any(a in t for a in self.added) else _PIECES.findall(t)
+            for t in texts
+        ]
         cache = self.cache
         if len(cache) > MAX_CACHED:
             cache.clear()

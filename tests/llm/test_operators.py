@@ -362,6 +362,19 @@ def test_packing(docs, no_docs):
     assert packing.pack(no_docs, vocabulary_path()).count() == 0
 
 
+def test_packing_ids_of_added_tokens():
+    """Ids are those of the tokenizer as its file makes it."""
+    from tokenizers import Tokenizer
+
+    from ctxlens.llm.tokens import Encoder
+
+    untouched = Tokenizer.from_file(vocabulary_path())
+    texts = ["ab <|endoftext|> cd", "a<|endoftext|>, b. c\n<|endoftext|>", "plain words, here.", "<|endoftext|>", "<|endof text|>"]
+    want = [np.array(untouched.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert Encoder(vocabulary_path()).ids(texts) == want
+    assert len(want[0]) == 4 * 4
+
+
 def test_packing_plan_is_near_the_bound():
     rng = np.random.default_rng(1)
     histogram = {n: int(rng.integers(50, 500)) for n in range(1, 1025)}
