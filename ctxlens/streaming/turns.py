@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ctxlens import fixed_values as fv
@@ -21,17 +22,28 @@ from ctxlens.operators.sessions import turn_counts
 def continued_turns(
     batch: DataFrame, state: DataFrame, key: str, ts: str, tie: str, gap_seconds: int
 ) -> DataFrame:
-    """Turn counts of a batch that go on from `state(key, last_seen, turns)`."""
+    """Turn counts of a batch that go on from `state(key, last_seen, turns)`.
+
+    A run goes on if it lies within the gap of `last_seen`; other runs, of late rows or
+    of a new session, count from 1.
+    """
     counted = turn_counts(batch, key, ts, tie, gap_seconds)
-    first = (
-        batch.groupBy(key)
-        .agg(F.min(ts).alias("_first"))
-        .join(state, key)
-        .where(_near("_first", "last_seen", gap_seconds))
-        .select(key, F.lit(1).cast("bigint").alias("run"), F.col("turns").alias("_carried"))
+    runs = counted.groupBy(key, "run").agg(
+        F.min(ts).alias("_first"), F.max(ts).alias("_last"), F.count("*").alias("_n")
+    )
+    gap = gap_seconds * 1_000_000
+    seen = F.unix_micros("last_seen")
+    # At most a late run and the one after it lie so near; the second goes on from the first.
+    earlier = W.partitionBy(key).orderBy("run").rowsBetween(W.unboundedPreceding, -1)
+    carried = (
+        runs.join(state, key)
+        .where((seen >= F.unix_micros("_first") - gap) & (seen <= F.unix_micros("_last") + gap))
+        .select(
+            key, "run", (F.col("turns") + F.coalesce(F.sum("_n").over(earlier), F.lit(0))).alias("_carried")
+        )
     )
     return (
-        counted.join(first, [key, "run"], "left")
+        counted.join(carried, [key, "run"], "left")
         .withColumn("turn_count", F.col("turn_count") + F.coalesce("_carried", F.lit(0)))
         .drop("_carried")
     )

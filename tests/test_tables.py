@@ -230,3 +230,17 @@ def test_few_files_per_day(spark, tmp_path):
     append_by_day(df, f"{tmp_path}/facts", files_per_day=3)
     read = spark.read.parquet(f"{tmp_path}/facts")
     assert read.count() == 4000 and len(read.inputFiles()) <= 6
+
+
+def test_turns_go_on_beside_late_rows(spark):
+    """One batch with late and on-time rows: the on-time run goes on from the state."""
+    import datetime as dt
+
+    at = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
+    state = spark.createDataFrame([("a", at(10_000), 7), ("b", at(10_000), 4)], "k string, last_seen timestamp, turns bigint")
+    rows = [("a", at(100), 1), ("a", at(10_100), 2), ("a", at(10_200), 3), ("b", at(9_800), 4), ("b", at(10_200), 5)]
+    batch = spark.createDataFrame(rows, "k string, ts timestamp, id int")
+    got = turns.continued_turns(batch, state, "k", "ts", "id", 300).cache()
+    assert {r.id: r.turn_count for r in got.collect()} == {1: 1, 2: 8, 3: 9, 4: 5, 5: 6}
+    after = turns.next_state(got, state, "k", "ts", 300).collect()
+    assert {r.k: (r.last_seen, r.turns) for r in after} == {"a": (at(10_200), 9), "b": (at(10_200), 6)}
