@@ -11,8 +11,11 @@ from ctxlens.llm import (
     extract,
     knn,
     licenses,
+    negatives,
     packing,
+    private_data,
     simhash,
+    spelling,
     substrings,
     toxicity,
     url_lists,
@@ -178,6 +181,51 @@ def op10_simhash(spark, sf):
     return simhash.near_duplicates(table(spark, sf, "documents"))
 
 
+@CATALOG.add("""
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+           FROM embeddings
+           WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND label IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, d.vec_id, d.label = a.label AS same,
+             CAST(list_sum(list_transform(list_zip(a.e, d.e), lambda z: z[1] * z[2])) AS BIGINT) AS score
+      FROM v a JOIN v d ON d.vec_id <> a.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+n AS (SELECT anchor_id, positive_id, vec_id AS negative_id, positive_score, score AS negative_score,
+             CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank
+      FROM p JOIN s USING (anchor_id)
+      WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5""")
+def op11_hard_negatives(spark, sf):
+    number, label = F.col("vec_id").cast("long"), F.col("label")
+    vectors = table(spark, sf, "embeddings").select(
+        number.alias("id"), F.when(number % 7 == 0, (label + 1) % 10).otherwise(label).alias("label"),
+        knn.quantized(F.col("embedding")).alias("v"),
+    )
+    return negatives.hard_negatives(vectors, vectors.where(F.col("id") % 100 == 0))
+
+
+@CATALOG.add()
+def op12_spelling_variants(spark, sf):
+    return spelling.variants(spelling.vocabulary(table(spark, sf, "documents"), every=199))
+
+
+@CATALOG.add()
+def op13_private_data(spark, sf):
+    """Counts and base_sha256 are of spans in the text as it is; spans and n_added tell the rest."""
+    found = private_data.identifiers(table(spark, sf, "documents"))
+    base = F.filter("found", lambda s: s["base"])
+    listed = lambda spans: F.array_join(
+        F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ","
+    )
+    of_kind = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id", *(of_kind(k).alias(f"n_{k}") for k in private_data.KINDS), F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"),
+        listed(F.col("found")).alias("spans"), (F.size("found") - F.size(base)).cast("long").alias("n_added"),
+    )
+
+
 @CATALOG.add()
 def pipeline(spark, sf):
     import corpus_pipeline
