@@ -10,7 +10,7 @@ from ctxlens import adapters as ad
 from ctxlens import fixed_values as fv
 from ctxlens.catalog import Catalog
 from ctxlens.functions.text import embedding_text
-from ctxlens.operators import active_files, imports, messages, ranking
+from ctxlens.operators import active_files, imports, messages, ranking, relevance
 from ctxlens.operators.ranking import Query
 from ctxlens.runtime import ensure_checkpoint_dir
 from ctxlens.sources.commit_log import read_commit_log
@@ -175,8 +175,8 @@ def question_topk(spark, sf):
     questions = ad.table(spark, sf, "conversations").where("turn = 0").select(
         F.col("conv_id").alias("query_id"), "text"
     )
-    scores = ranking.keyword_matches(ranking.summaries(ad.document_files(spark, sf)), questions)
-    return ranking.top_k(scores, fv.RANK_TOP_K, "query_id").withColumn("score", F.round("score", 6))
+    best = relevance.best_files(ranking.summaries(ad.document_files(spark, sf)), questions)
+    return best.select("query_id", "repo", "path", F.round("score", 6).alias("score"), "rank_no")
 
 
 @CATALOG.add(
@@ -187,8 +187,8 @@ def boosted_active_files(spark, sf):
     """Active files of each conversation: none is named, so all come from its last question."""
     msgs = ad.chat_messages(spark, sf)
     questions = messages.last_user_text(msgs).withColumnRenamed("request_id", "query_id")
-    scores = ranking.keyword_matches(ranking.summaries(ad.document_files(spark, sf)), questions)
-    boosted = ranking.boosted_files(scores).withColumnRenamed("query_id", "request_id")
+    files = ranking.summaries(ad.document_files(spark, sf))
+    boosted = ranking.boosted_files(relevance.files_above(files, questions, fv.BOOST_THRESHOLD)).withColumnRenamed("query_id", "request_id")
     return active_files.active_files(msgs, boosted).groupBy("request_id").agg(
         F.count("*").alias("files")
     )
@@ -308,14 +308,16 @@ def dependents_bfs(spark, sf):
 
 # --- ranking --------------------------------------------------------------------------------
 
-RANK = f"""WITH {SCORES},
+def _rank_sql(scores: str, target: str) -> str:
+    """`target` is the target of the question `query_id`, whose best guess is `guess.target`."""
+    return f"""WITH {scores},
 src AS (SELECT doc_id, source || '/d' || doc_id || '.py' AS path FROM documents),
 {EDGES.strip()},
 named AS (SELECT a.path AS src, b.path AS dst FROM links JOIN src a ON 'd' || a.doc_id = links.src JOIN src b ON 'd' || b.doc_id = links.dst),
 edits AS (SELECT path, max(ts) AS last_edit FROM events JOIN src ON src.doc_id = events.user_id GROUP BY 1),
 rec AS (SELECT path, exp(-ln(2.0) / 30.0 * greatest(0.0, (epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(last_edit)) / 86400e6)) AS score FROM edits),
 guess AS (SELECT query_id, path AS target FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path) AS n FROM rel) WHERE n = 1),
-target AS (SELECT query_id, CASE WHEN query_id = 2 THEN (SELECT path FROM src WHERE doc_id = 5) ELSE target END AS target FROM guess),
+target AS (SELECT query_id, {target} AS target FROM guess),
 near AS (SELECT query_id, dst AS path, 0.8 AS s FROM target JOIN named ON named.src = target WHERE dst <> target
   UNION ALL SELECT query_id, src, 0.5 FROM target JOIN named ON named.dst = target WHERE src <> target
   UNION ALL SELECT query_id, target, 1.0 FROM target),
@@ -330,8 +332,16 @@ SELECT query_id, 'demo' AS repo, path, round(semantic, 6) AS semantic, round(str
 round(temporal, 6) AS temporal, round(score, 6) AS score, CAST(n AS INT) AS rank_no FROM ranked WHERE n <= 5"""
 
 
-@CATALOG.add(RANK)
-def context_rank(spark, sf):
+RANK = _rank_sql(SCORES, "CASE WHEN query_id = 2 THEN (SELECT path FROM src WHERE doc_id = 5) ELSE target END")
+OPENING_SCORES = f"""
+{SUMMARIES}, {OPENINGS},
+words AS (SELECT DISTINCT query_id, unnest(list_filter(regexp_split_to_array(replace(lower(text), '.', ' '), '\\s+'), lambda w: w <> '')) AS word FROM questions),
+rel AS (SELECT query_id, path, sum(CASE WHEN contains(lower(name || ' ' || summary), word) THEN 1 ELSE 0 END) / CAST(count(*) AS DOUBLE) AS score
+        FROM summ, words GROUP BY 1, 2)"""
+
+
+def _ranked_corpus(spark, sf):
+    """Files, import edges and recency of the documents as a corpus."""
     files = ad.document_files(spark, sf)
     names = files.select("repo", "path", F.concat(F.lit("d"), F.col("doc_id")).alias("node"))
     edges = (
@@ -345,10 +355,29 @@ def context_rank(spark, sf):
         .select(F.col("user_id").alias("doc_id"), F.col("ts").cast("timestamp").alias("commit_ts"))
         .join(files.select("repo", "path", "doc_id"), "doc_id")
     )
+    return files, edges, ranking.recency(commits, AS_OF)
+
+
+def _rounded(ranked):
+    return ranked.withColumns({c: F.round(c, 6) for c in ("semantic", "structural", "temporal", "score")})
+
+
+@CATALOG.add(RANK)
+def context_rank(spark, sf):
+    files, edges, recent = _ranked_corpus(spark, sf)
     target = files.where("doc_id = 5").select("path").first()["path"]
     queries = [Query(q.query_id, q.text, target if q.query_id == 2 else None) for q in QUERIES]
-    ranked = ranking.assemble_context(
-        files, edges, ranking.recency(commits, AS_OF), queries
-    )
-    rounded = ("semantic", "structural", "temporal", "score")
-    return ranked.withColumns({c: F.round(c, 6) for c in rounded})
+    return _rounded(ranking.assemble_context(files, edges, recent, queries))
+
+
+@CATALOG.add(
+    _rank_sql(OPENING_SCORES, "CASE WHEN query_id % 3 = 0 THEN coalesce((SELECT path FROM src WHERE doc_id = query_id % 50), target) ELSE target END")
+)
+def context_rank_table(spark, sf):
+    """Best files for every conversation's opening; a third of them names a file."""
+    files, edges, recent = _ranked_corpus(spark, sf)
+    asked = ad.table(spark, sf, "conversations").where("turn = 0").select(F.col("conv_id").alias("query_id"), "text")
+    named = files.select(F.col("doc_id").alias("_doc"), F.col("path").alias("target"))
+    about = F.when(F.col("query_id") % 3 == 0, F.col("query_id") % 50)
+    questions = asked.join(named, about == F.col("_doc"), "left").select("query_id", "text", "target")
+    return _rounded(relevance.assemble_contexts(files, ranking.summaries(files), edges, recent, questions))

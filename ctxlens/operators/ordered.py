@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ctxlens.runtime import stage
+
 
 def last_before(
     df: DataFrame, keys: list[str], order: str, value: str, out: str, span: int
@@ -81,3 +83,36 @@ def last_positions(residues: int, position: str, value: Column) -> list[Column]:
         F.max_by(value, F.when(F.col(position) % residues == r, F.col(position)))
         for r in range(residues)
     ]
+
+
+def ranks(df: DataFrame, keys: list[str], order: list[str], out: str, first: int = 1) -> DataFrame:
+    """`df` with each row's place among the rows of its keys, counted from `first`.
+
+    Rows are laid out by ranges of keys and order, so one key, or one value of its first
+    order columns, takes as many tasks as its rows fill; the last order column should
+    tell rows apart. A row's place is its place in its own range plus the rows of its key
+    in earlier ranges: a prefix sum over one row per key and range. Without keys the
+    whole table is numbered. Keys must not be null. The order columns sort as they do in
+    `orderBy`. Equal rows are numbered in any order.
+    """
+    by = [F.col(c) for c in (*keys, *order)]
+    laid = stage(
+        df.repartitionByRange(*by)
+        .sortWithinPartitions(*by)
+        .withColumns({"_range": F.spark_partition_id(), "_row": F.monotonically_increasing_id()}),
+        "laid",
+    )
+    sums = laid.groupBy(*keys, "_range").agg(F.min("_row").alias("_least"), F.count("*").alias("_n"))
+    along = W.partitionBy(*keys).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    # Written, so that its size is known and a large one is joined where Spark can split hot keys.
+    offsets = stage(
+        sums.select(
+            *keys, "_range", (F.coalesce(F.sum("_n").over(along), F.lit(0)) - F.col("_least") + first).alias("_offset")
+        ),
+        "offsets",
+    )
+    return (
+        laid.join(offsets, [*keys, "_range"])
+        .withColumn(out, F.col("_row") + F.col("_offset"))
+        .drop("_range", "_row", "_offset")
+    )

@@ -13,23 +13,17 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ctxlens import fixed_values as fv
-
-TICKS_PER_GAP = 300
+from ctxlens.operators.ordered import ranks
+from ctxlens.runtime import stage
 
 
 def _timed(df: DataFrame, ts: str, gap_seconds: int) -> DataFrame:
-    gap = gap_seconds * 1_000_000
-    tick = max(gap // TICKS_PER_GAP, 1)
-    into = F.pmod("_us", F.lit(gap))
-    return (
-        df.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp")))
-        .withColumn("_slice", F.col("_us") - into)
-        .withColumn("_tick", into - F.pmod(into, F.lit(tick)))
-    )
+    into = F.pmod("_us", F.lit(gap_seconds * 1_000_000))
+    return df.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp"))).withColumn("_slice", F.col("_us") - into)
 
 
 def _slices(timed: DataFrame, key: str, gap_seconds: int) -> DataFrame:
-    """One row per session and slice with its run number and rows before it in the run."""
+    """One row per session and slice with its run number."""
     sums = timed.groupBy(key, "_slice").agg(
         F.min("_us").alias("_lo"), F.max("_us").alias("_hi"), F.count("*").alias("_n")
     )
@@ -38,16 +32,9 @@ def _slices(timed: DataFrame, key: str, gap_seconds: int) -> DataFrame:
     starts = sums.withColumn(
         "_start", (F.coalesce(idle > gap_seconds * 1_000_000, F.lit(True))).cast("bigint")
     )
-    numbered = starts.withColumn(
+    return starts.withColumn(
         "run", F.sum("_start").over(along.rowsBetween(W.unboundedPreceding, 0))
     )
-    in_run = W.partitionBy(key, "run").orderBy("_slice")
-    return numbered.withColumn(
-        "_before",
-        F.coalesce(
-            F.sum("_n").over(in_run.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)
-        ),
-    )
 
 
 def session_runs(
@@ -74,34 +61,17 @@ def turn_counts(
 ) -> DataFrame:
     """Every request with its `run` and its 1-based `turn_count` in that run.
 
-    A request without a key belongs to no run and has the turn 0. Rows are numbered inside a tick of about a gap / 300; the numbers before a
-    tick come from its slice, those before a slice from the run.
+    A request without a key or a time belongs to no run and has the turn 0. Rows are numbered
+    along time and `tie` by ranges, so a session may have any number of rows, also of
+    one time stamp.
     """
-    timed = _timed(df.where(F.col(key).isNotNull()), ts, gap_seconds)
-    slices = _slices(timed.select(key, "_us", "_slice"), key, gap_seconds)
-    ticks = timed.groupBy(key, "_slice", "_tick").agg(F.count("*").alias("_n"))
-    in_slice = W.partitionBy(key, "_slice").orderBy("_tick")
-    offsets = (
-        ticks.withColumn(
-            "_earlier",
-            F.coalesce(
-                F.sum("_n").over(in_slice.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)
-            ),
-        )
-        .join(slices.select(key, "_slice", "run", "_before"), [key, "_slice"])
-        .select(
-            key, "_slice", "_tick", "run",
-            (F.col("_before") + F.col("_earlier")).alias("_offset"),
-        )
-    )
-    in_tick = W.partitionBy(key, "_slice", "_tick").orderBy("_us", tie)
-    numbered = (
-        timed.withColumn("_rank", F.row_number().over(in_tick))
-        .join(offsets, [key, "_slice", "_tick"])
-        .withColumn("turn_count", F.col("_offset") + F.col("_rank"))
-        .drop("_us", "_slice", "_tick", "_rank", "_offset")
-    )
-    alone = df.where(F.col(key).isNull()).withColumn("turn_count", F.lit(0).cast("bigint"))
+    known = F.col(key).isNotNull() & F.col(ts).isNotNull()
+    timed = _timed(df.where(known), ts, gap_seconds)
+    # Written, so that Spark can split the join where one session has most rows.
+    slices = stage(_slices(timed.select(key, "_us", "_slice"), key, gap_seconds).select(key, "_slice", "run"), "slices")
+    in_runs = timed.join(slices, [key, "_slice"]).drop("_slice")
+    numbered = ranks(in_runs, [key, "run"], ["_us", tie], "turn_count").drop("_us")
+    alone = df.where(~known).withColumn("turn_count", F.lit(0).cast("bigint"))
     return numbered.unionByName(alone, allowMissingColumns=True)
 
 

@@ -18,7 +18,7 @@ from ctxlens.functions.once import once
 from ctxlens.functions.text import language_of, splice_blocks, strip
 from ctxlens.functions.tokens import Counter, heuristic_tokens
 from ctxlens.operators import active_files as act
-from ctxlens.operators import accounting, cache_plan, messages, policy, ranking, tool_reads
+from ctxlens.operators import accounting, cache_plan, messages, policy, ranking, relevance, tool_reads
 from ctxlens.operators.skeletons import skeletons
 from ctxlens.runtime import stage
 
@@ -340,7 +340,7 @@ def _edited_body() -> Column:
 def relevant_files(msgs: DataFrame, corpus: DataFrame, threshold: float) -> DataFrame:
     """boosted(request_id, file_key): files of the corpus that suit a request's last question."""
     questions = messages.last_user_text(msgs).withColumnRenamed("request_id", "query_id")
-    scores = ranking.keyword_matches(ranking.summaries(corpus), questions)
+    scores = relevance.files_above(ranking.summaries(corpus), questions, threshold)
     return ranking.boosted_files(scores, threshold).withColumnRenamed("query_id", "request_id")
 
 

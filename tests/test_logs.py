@@ -1,13 +1,10 @@
-"""Logs as they come: repeated and missing request ids, lines that are no JSON, questions as a table."""
+"""Logs as they come: repeated and missing request ids, lines that are no JSON."""
 
 import json
-import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from ctxlens.operators import ranking
-from ctxlens.operators.ranking import Query
 from ctxlens.plans.compaction import Options, compact
 from ctxlens.sources.request_log import parse_bodies, read_log
 
@@ -65,21 +62,3 @@ def test_files_that_suit_the_question_stay_whole(spark, threshold, reduced):
     files = corpus(spark, ("lib/utils.py", "x " * 3000 + "refunds and Rounding"), ("lib/b.py", "nothing"))
     run = compact(parsed(spark, ("a", "chat/completions", body)), Options(boost_threshold=threshold), files)
     assert run.block_counts().first().skeletonized_blocks == reduced
-
-
-def test_questions_of_a_table_score_as_literals_do(spark):
-    pick = random.Random(5)
-    letters = "ab\u00e9\U0001f600-_.("
-    word = lambda n: "".join(pick.choice(letters) for _ in range(pick.randint(1, n)))
-    files = corpus(spark, *[(f"d/{word(3).replace('/', '')}{i}.py", " ".join(word(9) for _ in range(12))) for i in range(25)])
-    asked = [(i, " ".join(word(6) for _ in range(4))) for i in range(12)] + [(90, ""), (91, None), (92, " . ")]
-    summary = ranking.summaries(files)
-    got = ranking.keyword_matches(summary, spark.createDataFrame(asked, "query_id bigint, text string"))
-    want = ranking.keyword_scores(summary, [Query(i, t) for i, t in asked if t]).where("score > 0")
-    rows = lambda df: sorted((r.query_id, r.path, round(r.score, 9)) for r in df.collect())
-    assert rows(got) == rows(want) and rows(got)
-
-
-def test_no_questions_no_files(spark):
-    none = spark.createDataFrame([], "query_id bigint, text string")
-    assert ranking.keyword_matches(ranking.summaries(corpus(spark, ("a.py", "x"))), none).count() == 0

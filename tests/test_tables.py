@@ -244,3 +244,21 @@ def test_turns_go_on_beside_late_rows(spark):
     assert {r.id: r.turn_count for r in got.collect()} == {1: 1, 2: 8, 3: 9, 4: 5, 5: 6}
     after = turns.next_state(got, state, "k", "ts", 300).collect()
     assert {r.k: (r.last_seen, r.turns) for r in after} == {"a": (at(10_200), 9), "b": (at(10_200), 6)}
+
+
+def test_ranks_of_hot_keys(spark):
+    """Most rows share one key, and nine of ten one time stamp: ranges split them."""
+    rng = random.Random(8)
+    rows = [("hot" if i % 20 else f"k{i % 7}", 500 if i % 10 else rng.randrange(1000), i) for i in range(3000)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "k string, t int, id int")
+    got = {r.id: r.n for r in ordered.ranks(df, ["k"], ["t", "id"], "n").collect()}
+    whole = {r.id: r.n for r in ordered.ranks(df, [], ["t", "id"], "n", first=0).collect()}
+    want, place = {}, {}
+    for k, _, i in sorted(rows):
+        want[i] = place[k] = place.get(k, 0) + 1
+    assert got == want
+    assert whole == {i: n for n, (_, _, i) in enumerate(sorted(rows, key=lambda r: r[1:]))}
+    ranges = ordered.ranks(df, ["k"], ["t", "id"], "n")
+    assert "Window" not in ranges._jdf.queryExecution().executedPlan().toString()
+    assert ordered.ranks(df.limit(0), ["k"], ["t"], "n").count() == 0
