@@ -87,9 +87,9 @@ def stream_sessions(spark, sf):
 def stream_turns(spark, sf):
     root = _folder(spark, "turns")
     stream = _arrivals(spark, sf, root).select("user_id", "event_id", "ts")
-    write = turns.turn_writer(f"{root}/out", f"{root}/state", "user_id", "ts", "event_id", GAP)
-    _drain(stream.writeStream.foreachBatch(write), root)
-    return spark.read.parquet(f"{root}/out").select("user_id", "event_id", "turn_count")
+    numbered = turns.turn_stream(stream, "user_id", "ts", "event_id", GAP)
+    _drain(numbered.writeStream.format("parquet").option("path", f"{root}/out"), root)
+    return spark.read.schema(numbered.schema).parquet(f"{root}/out").select("user_id", "event_id", "turn_count")
 
 
 @CATALOG.add("SELECT event_id, ts, user_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 50")

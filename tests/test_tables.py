@@ -7,13 +7,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from ctxlens.functions.tokens import bpe_tokens, heuristic_tokens
-from ctxlens.operators import messages, accounting, cache_plan, imports, ranking, sessions, tool_reads
+from ctxlens.operators import messages, accounting, cache_plan, imports, ordered, ranking, sessions, tool_reads
 from ctxlens.operators.ranking import Query
 from ctxlens.sources.commit_log import read_commit_log
 from ctxlens.sources.corpus import module_name, read_code
 from ctxlens.sources.pricing import default_pricing
 from ctxlens.sources.sinks import append_by_day
-from ctxlens.streaming import turns
 
 
 def _hot(rng, n):
@@ -69,20 +68,6 @@ def test_turns_and_runs(spark, gap):
     assert totals == {k: len(v) for k, v in want.items()}
 
 
-def test_stream_state_continues_sessions(spark, tmp_path):
-    rng = random.Random(3)
-    rows = sorted((rng.randrange(20000), k, i) for i, k in enumerate(_hot(rng, 300)))
-    df = spark.createDataFrame([(k, i, t) for t, k, i in rows], "k string, id int, t int").withColumn(
-        "ts", F.timestamp_seconds("t"))
-    write = turns.turn_writer(f"{tmp_path}/out", f"{tmp_path}/state", "k", "ts", "id", 300)
-    for b, (lo, hi) in enumerate([(0, 6000), (6000, 6100), (6100, 20000)]):
-        for _ in range(2):  # a batch that is run again replaces its own output
-            write(df.where((F.col("t") >= lo) & (F.col("t") < hi)), b)
-    got = {r.id: r.turn_count for r in spark.read.parquet(f"{tmp_path}/out").collect()}
-    want = {r.id: r.turn_count for r in sessions.turn_counts(df, "k", "ts", "id", 300).collect()}
-    assert got == want
-
-
 def test_prefix_estimate(spark):
     rng = random.Random(1)
     chars = {f"r{i}": [rng.randrange(100) for _ in range(n)] for i, n in enumerate([1, 2, 3, 4, 200])}
@@ -209,16 +194,6 @@ def test_plans_reduce_before_the_shuffle(spark):
     assert "Cartesian" not in plan(tool_reads.stale_reads(df))
 
 
-def test_stream_state_survives_empty_and_late_batches(spark, tmp_path):
-    rows = [(0, "a", 1, 1000), (0, "a", 2, 1100), (2, "a", 3, 1200), (3, "a", 4, 1150), (4, "a", 5, 100), (5, "a", 6, 1300)]
-    df = spark.createDataFrame(rows, "b int, k string, id int, t int").withColumn("ts", F.timestamp_seconds("t"))
-    write = turns.turn_writer(f"{tmp_path}/out", f"{tmp_path}/state", "k", "ts", "id", 300)
-    for b in range(6):
-        write(df.where(F.col("b") == b).drop("b", "t"), b)
-    got = {r.id: r.turn_count for r in spark.read.parquet(f"{tmp_path}/out").collect()}
-    assert got == {1: 1, 2: 2, 3: 3, 4: 4, 5: 1, 6: 5}
-
-
 def test_last_user_text_without_code(spark):
     rows = [("r", 0, "user", "first", False), ("r", 1, "user", "see ```py\nx = 1\n``` here", False), ("r", 2, "assistant", "no", False)]
     df = spark.createDataFrame(rows, "request_id string, msg_idx int, role string, text string, detect_only boolean")
@@ -232,20 +207,6 @@ def test_few_files_per_day(spark, tmp_path):
     assert read.count() == 4000 and len(read.inputFiles()) <= 6
 
 
-def test_turns_go_on_beside_late_rows(spark):
-    """One batch with late and on-time rows: the on-time run goes on from the state."""
-    import datetime as dt
-
-    at = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
-    state = spark.createDataFrame([("a", at(10_000), 7), ("b", at(10_000), 4)], "k string, last_seen timestamp, turns bigint")
-    rows = [("a", at(100), 1), ("a", at(10_100), 2), ("a", at(10_200), 3), ("b", at(9_800), 4), ("b", at(10_200), 5)]
-    batch = spark.createDataFrame(rows, "k string, ts timestamp, id int")
-    got = turns.continued_turns(batch, state, "k", "ts", "id", 300).cache()
-    assert {r.id: r.turn_count for r in got.collect()} == {1: 1, 2: 8, 3: 9, 4: 5, 5: 6}
-    after = turns.next_state(got, state, "k", "ts", 300).collect()
-    assert {r.k: (r.last_seen, r.turns) for r in after} == {"a": (at(10_200), 9), "b": (at(10_200), 6)}
-
-
 def test_ranks_of_hot_keys(spark):
     """Most rows share one key, and nine of ten one time stamp: ranges split them."""
     rng = random.Random(8)
