@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 from ctxlens import adapters as ad
 from ctxlens.catalog import Catalog
+from ctxlens.catalog.bodies import EDIT, METRICS, PRICES, REQ
 from ctxlens.catalog.traffic import GAP, RUNS
 from ctxlens.runtime import ensure_checkpoint_dir
+from ctxlens.sources.pricing import default_pricing
 from ctxlens.streaming import totals, turns
 
 CATALOG = Catalog()
@@ -27,6 +29,11 @@ def _folder(spark, name: str) -> str:
 def _arrivals(spark, sf, root: str):
     """events as a file stream that arrives in time order, a few files per batch."""
     events = ad.table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return _in_steps(spark, events, root)
+
+
+def _in_steps(spark, events, root: str):
+    """The rows as a file stream that arrives in the order of `ts`, in `BATCHES` steps."""
     span = events.agg(F.unix_micros(F.min("ts")).alias("lo"), F.unix_micros(F.max("ts")).alias("hi")).first()
     width = (span.hi - span.lo) // BATCHES + 1
     part = F.floor((F.unix_micros("ts") - span.lo) / width)
@@ -50,8 +57,9 @@ def _drain(writer, root: str):
     CAST(sum(event_id % 500 - event_id % 300) AS BIGINT) AS tokens_saved FROM events
     GROUP BY 1, 2"""
 )
-def stream_savings(spark, sf):
-    root = _folder(spark, "savings")
+def stream_totals(spark, sf):
+    """Totals of events as requests whose tokens are known."""
+    root = _folder(spark, "totals")
     e = F.col("event_id")
     metrics = _arrivals(spark, sf, root).select(
         "ts",
@@ -67,6 +75,32 @@ def stream_savings(spark, sf):
     )
 
 
+@CATALOG.add(
+    f"""WITH {PRICES}, {REQ}, {EDIT}, {METRICS} SELECT time_bucket(INTERVAL 1 DAY, ts AT TIME ZONE 'UTC') AS window_start, metrics.model,
+    CAST(count(*) AS BIGINT) AS requests, CAST(sum(original_tokens) AS BIGINT) AS original_tokens,
+    CAST(sum(compressed_tokens) AS BIGINT) AS compressed_tokens, CAST(sum(original_tokens - compressed_tokens) AS BIGINT) AS tokens_saved,
+    round(sum((original_tokens / 1e6 - compressed_tokens / 1e6) * coalesce(p_in, 3.0)), 8) AS cost_saved
+    FROM metrics LEFT JOIN prices ON prices.model = metrics.model GROUP BY 1, 2"""
+)
+def stream_savings(spark, sf):
+    """Logged requests with their bodies, compacted batch by batch; the last batch is given twice."""
+    root = _folder(spark, "savings")
+    stream = _in_steps(spark, ad.request_bodies(spark, sf), root)
+    write = totals.savings_writer(f"{root}/out", default_pricing(spark), "model", width="1 day")
+
+    def twice(batch, batch_id):
+        write(batch, batch_id)
+        if batch_id == BATCHES - 1:
+            write(batch, batch_id)
+
+    _drain(stream.writeStream.foreachBatch(twice), root)
+    return totals.windowed_totals(spark, f"{root}/out", "model").select(
+        F.col("window_start").cast("timestamp_ntz").alias("window_start"),
+        "model", "requests", "original_tokens", "compressed_tokens", "tokens_saved",
+        F.round("cost_saved", 8).alias("cost_saved"),
+    )
+
+
 @CATALOG.add(
     f"""WITH {RUNS} SELECT user_id, min(ts) AS first_seen, max(ts) AS last_seen, CAST(count(*) AS BIGINT) AS turn_count
     FROM runs GROUP BY user_id, run"""

@@ -12,7 +12,7 @@ from ctxlens.catalog.chats import PRICES
 from ctxlens.operators import accounting, sessions, tool_reads
 from ctxlens.runtime import ensure_checkpoint_dir
 from ctxlens.sources.pricing import default_pricing, read_pricing
-from ctxlens.sources.sinks import append_by_day
+from ctxlens.sources.sinks import append_once, read_facts
 
 CATALOG = Catalog()
 GAP = 6 * 3600
@@ -203,12 +203,12 @@ def price_file(spark, sf):
     round(sum(value), 4) AS total FROM events GROUP BY 1"""
 )
 def daily_facts(spark, sf):
-    """events appended to a table by day in two runs and read back."""
+    """events appended to a table by day in two parts, one of them twice, and read back."""
     where = f"{ensure_checkpoint_dir(spark)}/facts-{uuid.uuid4().hex}"
     facts = ad.table(spark, sf, "events").select("event_id", "ts", "value")
-    for part in (0, 1):
-        append_by_day(facts.where(F.col("event_id") % 2 == part), where)
-    return spark.read.parquet(where).groupBy(F.col("day").cast("string").alias("day")).agg(
+    for part in (0, 1, 1):
+        append_once(facts.where(F.col("event_id") % 2 == part), where, f"half-{part}")
+    return read_facts(spark, where).groupBy(F.col("day").cast("string").alias("day")).agg(
         F.count("*").alias("facts"), F.sum("event_id").alias("ids"),
         F.round(F.sum("value"), 4).alias("total"),
     )

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ctxlens.sources.parts import Parts
+
 
 def write_bodies(rewritten: DataFrame, path: str, mode: str = "overwrite") -> None:
     """request_id and body as JSON lines."""
@@ -12,19 +14,32 @@ def write_bodies(rewritten: DataFrame, path: str, mode: str = "overwrite") -> No
     rewritten.select(body.alias("value")).write.mode(mode).text(path)
 
 
+def _by_day(facts: DataFrame, ts: str, files_per_day: int) -> DataFrame:
+    """Rows of a day in at most `files_per_day` tasks: few files, and no task with a whole day."""
+    salt = F.pmod(F.xxhash64(*facts.columns), F.lit(files_per_day))
+    return facts.withColumn("day", F.to_date(ts)).repartition("day", salt)
+
+
 def append_by_day(
     facts: DataFrame, path: str, ts: str = "ts", mode: str = "append", files_per_day: int = 8
 ) -> None:
-    """Facts as parquet, one folder per day.
+    """Facts as parquet, one folder per day; a second run adds the rows again."""
+    _by_day(facts, ts, files_per_day).write.mode(mode).partitionBy("day").parquet(path)
+
 
-    Rows of a day are first brought together in at most `files_per_day` tasks, so a
-    write makes few files and no single task gets a whole day.
+def append_once(
+    facts: DataFrame, path: str, key: str, ts: str = "ts", files_per_day: int = 8
+) -> bool:
+    """Facts as a part of a table by day, known by `key`: a part that is there is not added again.
+
+    Parts are merged as they become many. Tells whether the rows were added.
     """
-    salt = F.pmod(F.xxhash64(*facts.columns), F.lit(files_per_day))
-    (
-        facts.withColumn("day", F.to_date(ts))
-        .repartition("day", salt)
-        .write.mode(mode)
-        .partitionBy("day")
-        .parquet(path)
-    )
+    parts = Parts(facts.sparkSession, path)
+    added = parts.append(_by_day(facts, ts, files_per_day), key, ("day",))
+    parts.merge(lambda rows: _by_day(rows.drop("day"), ts, files_per_day), by=("day",))
+    return added
+
+
+def read_facts(spark: SparkSession, path: str) -> DataFrame:
+    """All facts that `append_once` has added, with their day."""
+    return Parts(spark, path).read()
