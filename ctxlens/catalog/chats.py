@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ctxlens import adapters as ad
@@ -11,7 +13,8 @@ from ctxlens.functions import formats, text
 from ctxlens.functions.tokens import heuristic_tokens
 from ctxlens.operators import accounting, active_files, cache_plan, messages
 from ctxlens.operators.skeletons import HEADER, line_stats, skeletons
-from ctxlens.plans.compaction import compress_plain
+from ctxlens.plans.compaction import Options, compress_plain
+from ctxlens.runtime import ensure_checkpoint_dir
 from ctxlens.sources.pricing import default_pricing
 
 CATALOG = Catalog()
@@ -390,6 +393,17 @@ def _compressed(spark, sf):
     return compress_plain(ad.chat_messages(spark, sf, coded=True))
 
 
+@CATALOG.add(
+    f"WITH {CODED_ROWS}, {REFS}, {ACTIVE}, {EDITED} SELECT conv_id AS request_id, CAST(turn AS INT) AS msg_idx, new_text FROM edited"
+)
+def compress_stored(spark, sf):
+    """A log that grows: a third of the conversations first, then all, with skeletons kept in between."""
+    options = Options(skeleton_store=f"{ensure_checkpoint_dir(spark)}/skeletons-{uuid.uuid4().hex}")
+    msgs = ad.chat_messages(spark, sf, coded=True)
+    compress_plain(msgs.where(F.col("request_id") % 3 == 0), options=options)
+    return compress_plain(msgs, options=options)[0].select("request_id", "msg_idx", "new_text")
+
+
 @CATALOG.add(
     f"""WITH {CODED_ROWS}, {REFS}, {ACTIVE}, {EDITED}
     SELECT conv_id AS request_id, CAST(2 * count(*) AS BIGINT) AS total_blocks,

@@ -9,6 +9,7 @@ file is one row by the time it reaches Python.
 from __future__ import annotations
 
 import ast
+import hashlib
 import re
 import textwrap
 from bisect import bisect_left
@@ -19,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ctxlens import fixed_values as fv
+from ctxlens.runtime import stage
+from ctxlens.sources.parts import Parts
 
 HEADER = "# [structural skeleton: bodies removed]"
 
@@ -27,6 +30,12 @@ SCHEMA = (
     "skeleton_lines INT, was_compressed BOOLEAN"
 )
 
+STORED = (
+    "language string, code_hash string, made_by string, skeleton string, original_lines int, "
+    "skeleton_lines int, was_compressed boolean"
+)
+RULES = 1  # changes with the rules of this module, so that older skeletons are not taken
+
 _FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef)
 
 
@@ -287,6 +296,44 @@ def skeletons(
     return done.withColumn("code_hash", F.sha2("code", 256))
 
 
+def _made_by(options: dict) -> str:
+    """Names the options and the rules that skeletons were made with."""
+    whole = {"keep_docstrings": False, "keep_class_attrs": True, "header": HEADER, "require_smaller": False} | options
+    return hashlib.sha256(repr((RULES, sorted(whole.items()))).encode()).hexdigest()[:16]
+
+
+def stored_skeletons(codes: DataFrame, folder: str | None, **options) -> DataFrame:
+    """As `skeletons`, without the code; skeletons are kept in `folder` and not made again.
+
+    The folder holds a table by content: language, hash of the code and options. Only code
+    that it does not know is parsed, and added as a part (`sources.parts`); parts are merged
+    as they become many, each in the order of hashes, so a reader of few hashes reads few
+    row groups. Runs at the same time may add the same code; it counts once.
+    """
+    if folder is None:
+        return skeletons(codes, **options).drop("code")
+    spark = codes.sparkSession
+    parts, made_by, keys = Parts(spark, folder), _made_by(options), ["language", "code_hash"]
+    wanted = stage(
+        codes.where(F.col("code").isNotNull()).select("language", "code").distinct().withColumn("code_hash", F.sha2("code", 256)),
+        "code",
+    )
+
+    def known() -> DataFrame:
+        return parts.read(STORED).where(F.col("made_by") == made_by)
+
+    # Written, because the rest depends on what it holds; its columns are read from parquet alone.
+    fresh = stage(wanted.join(known().select(*keys), keys, "left_anti"), "fresh-code")
+    if not fresh.isEmpty():
+        columns = [c.split()[0] for c in STORED.split(", ")]
+        made = skeletons(fresh.select("language", "code"), **options).withColumn("made_by", F.lit(made_by))
+        parts.append(made.select(*columns).repartitionByRange("code_hash").sortWithinPartitions("code_hash"))
+        parts.merge(
+            lambda rows: rows.dropDuplicates([*keys, "made_by"]).repartitionByRange("code_hash").sortWithinPartitions("code_hash")
+        )
+    return known().join(wanted.select(*keys), keys, "left_semi").dropDuplicates(keys).drop("made_by")
+
+
 def line_stats(done: DataFrame) -> DataFrame:
     """Lines saved and line compression ratio of each skeleton."""
     before, after = F.col("original_lines"), F.col("skeleton_lines")

@@ -19,7 +19,7 @@ from ctxlens.functions.text import language_of, splice_blocks, strip
 from ctxlens.functions.tokens import Counter, heuristic_tokens
 from ctxlens.operators import active_files as act
 from ctxlens.operators import accounting, cache_plan, messages, policy, ranking, relevance, tool_reads
-from ctxlens.operators.skeletons import skeletons
+from ctxlens.operators.skeletons import stored_skeletons
 from ctxlens.runtime import stage
 
 UNIT = act.UNIT
@@ -38,6 +38,7 @@ class Options:
     require_smaller: bool = False
     boost_threshold: float = fv.BOOST_THRESHOLD
     skeleton_header: str | None = None
+    skeleton_store: str | None = None  # folder in which skeletons are kept between runs
     note: str = "[stale result of `{file}` replaced by its skeleton: a newer read follows]\n"
     bare_note: str = "[stale result replaced by its skeleton]\n"
 
@@ -57,8 +58,9 @@ def reduced_blocks(
 ) -> DataFrame:
     """Every block of every unit with activity and, if reduced, its skeleton."""
     marked = act.with_activity(act.blocks(units), active)
-    done = skeletons(
+    done = stored_skeletons(
         marked.where(~F.col("is_active")).select("language", "code"),
+        options.skeleton_store,
         **options.skeleton_args(),
     )
     found = done.where("was_compressed").select(
@@ -139,8 +141,9 @@ def reduced_results(
         .withColumn("language", F.coalesce(language_of(F.col("note_file")), F.lit("")))
     )
     full = strip(F.col("text")) != ""
-    done = skeletons(
+    done = stored_skeletons(
         texts.where(full).select("language", F.col("text").alias("code")),
+        options.skeleton_store,
         **options.skeleton_args(),
     ).where("was_compressed").select("language", "code_hash", "skeleton")
     before, after = options.note.split("{file}")

@@ -156,3 +156,25 @@ def test_long_texts_take_time_in_proportion(line):
     begun = time.process_time()
     sk._bare_braces(code)
     assert time.process_time() - begun < 10
+
+
+def test_kept_skeletons_are_not_made_again(spark, tmp_path, monkeypatch):
+    codes = [("python", f"def f{i}():\n    return {i}\n") for i in range(6)] + [("go", "x = 1"), ("python", "def f(:"), (None, "x"), ("python", None)]
+    df = spark.createDataFrame(codes + codes[:3], "language string, code string")
+    columns = ["language", "code_hash", "skeleton", "original_lines", "skeleton_lines", "was_compressed"]
+    rows = lambda done: sorted(map(tuple, done.select(*columns).collect()), key=str)
+    folder = f"{tmp_path}/store"
+    known = df.where(F.col("language").isNotNull())
+    first = rows(sk.stored_skeletons(known.limit(3), folder))
+    made, make = [], sk.skeletons
+    monkeypatch.setattr(sk, "skeletons", lambda codes, **o: made.append(codes.count()) or make(codes, **o))
+    assert rows(sk.stored_skeletons(known, folder)) == rows(make(known)) and made == [5]
+    assert rows(sk.stored_skeletons(known, folder)) == rows(make(known)) and made == [5]
+    assert first == rows(sk.stored_skeletons(known.limit(3), folder)) and made == [5]
+    # Other options are other skeletons; a part that was added twice counts once.
+    other = sk.stored_skeletons(known, folder, keep_docstrings=True, header="# h")
+    assert rows(other) == rows(make(known, keep_docstrings=True, header="# h")) and made == [5, 8]
+    parts = sk.Parts(spark, folder)
+    parts.append(parts.read())
+    assert rows(sk.stored_skeletons(known, folder)) == rows(make(known)) and made == [5, 8]
+    assert sk.stored_skeletons(known.limit(0), folder).count() == 0
