@@ -75,18 +75,21 @@ def commit_log(spark, sf):
 
 
 @CATALOG.add(
-    """SELECT CAST(sum(length(regexp_replace(text, '[^\\n]', '', 'g')) + 1) AS BIGINT) AS lines,
-    CAST(sum(length(text) + 1) AS BIGINT) AS chars FROM documents"""
+    """SELECT CASE WHEN doc_id % 3 = 0 THEN '_part=' ELSE 'part=' END || doc_id AS folder,
+    CAST(octet_length(encode(coalesce(text, ''))) + 1 AS BIGINT) AS size, sha256(coalesce(text, '') || chr(10)) AS sha256 FROM documents"""
 )
 def code_corpus(spark, sf):
-    """documents written as text files of at most 1,000 each and read as a corpus."""
+    """documents written as one text file each, a third below folders of hidden names, and read as a corpus."""
     where = f"{ensure_checkpoint_dir(spark)}/corpus-{uuid.uuid4().hex}"
-    docs = ad.table(spark, sf, "documents").select("text")
-    docs.write.option("maxRecordsPerFile", 1000).text(where)
+    docs = ad.table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    for name, some in (("_part", F.col("doc_id") % 3 == 0), ("part", F.col("doc_id") % 3 != 0)):
+        rows = docs.where(some).withColumnRenamed("doc_id", name)
+        rows.write.mode("append").partitionBy(name).text(where)
     files = read_code(spark, where, "demo", "part-*.txt")
-    return files.agg(
-        F.sum(F.size(F.split("content", "\n", -1)) - 1).cast("bigint").alias("lines"),
-        F.sum(F.length("content")).alias("chars"),
+    return files.select(
+        F.substring_index("path", "/", 1).alias("folder"),
+        F.octet_length("content").cast("bigint").alias("size"),
+        F.sha2(F.col("content").cast("binary"), 256).alias("sha256"),
     )
 
 

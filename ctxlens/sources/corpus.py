@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import fnmatch
+import os
 import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ctxlens.runtime import stage
+
 
 def _is_hidden(path: str) -> bool:
     """Whether Spark's file readers pass over a file; folders of metadata they enter."""
@@ -29,26 +33,59 @@ def _is_hidden(path: str) -> bool:
     )
 
 
-def _hidden_names(root: str, glob: str):
-    """Task that lists, by name only, the files Spark's readers take for hidden."""
+def _arrow_uri(root: str) -> str:
+    """The root as Arrow names it: s3a and s3n are s3, a bare path is a local file."""
+    if "://" not in root:
+        return "file:///" + re.sub("^(file:)?/+", "", root)
+    return re.sub("^s3[an]://", "s3://", root)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for _ in batches:
-            store, base = fs.FileSystem.from_uri(root)
-            found = store.get_file_info(fs.FileSelector(base, recursive=True))
-            names = [f.path[len(base.rstrip("/")) + 1 :] for f in found if f.is_file]
-            hidden = [
-                n
-                for n in names
-                if fnmatch.fnmatch(n.rsplit("/", 1)[-1], glob)
-                and _is_hidden(n)
-            ]
-            if hidden:
-                yield pd.DataFrame({"path": hidden})
+
+def _listing(root: str):
+    """Task that lists folders, each by itself: path, whether it is a folder, and size.
+
+    Folders behind local symbolic links are not entered.
+    """
+
+    schema = pa.schema([("path", pa.string()), ("is_folder", pa.bool_()), ("size", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = fs.FileSystem.from_uri(root)
+        base = base.rstrip("/")
+        local = isinstance(store, fs.LocalFileSystem)
+        for batch in batches:
+            for folder in batch.column("path").to_pylist():
+                found = store.get_file_info(fs.FileSelector(f"{base}/{folder}".rstrip("/")))
+                kept = [f for f in found if f.is_file or not (local and os.path.islink(f.path))]
+                columns = (
+                    [f.path[len(base) + 1 :] for f in kept],
+                    [not f.is_file for f in kept],
+                    [f.size if f.is_file else None for f in kept],
+                )
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema
+                )
 
     return run
 
 
+def list_files(spark: SparkSession, root: str) -> DataFrame:
+    """(path, size) of every file below `root`, hidden names included, in any store that Arrow opens.
+
+    The tree is listed level by level: the folders of one level are rows that are dealt over
+    the tasks, and what they hold is written before the next level begins. A task holds
+    the names of one folder.
+    """
+    uri = _arrow_uri(root.rstrip("/"))
+    level, found = spark.createDataFrame([("",)], "path string"), None
+    while True:
+        made = stage(level.mapInArrow(_listing(uri), "path string, is_folder boolean, size bigint"), "listing")
+        files = made.where(~F.col("is_folder")).select("path", "size")
+        found = files if found is None else found.union(files)
+        level = made.where("is_folder").select("path").repartition("path")
+        if level.isEmpty():
+            return found
+
+
 def _contents(root: str):
     """Task that reads files by their names."""
 
@@ -62,42 +99,41 @@ def _contents(root: str):
     return run
 
 
-def read_code(spark: SparkSession, root: str, repo: str, glob: str = "*.py") -> DataFrame:
+def read_code(
+    spark: SparkSession, root: str, repo: str, glob: str = "*.py", hidden: bool = True
+) -> DataFrame:
     """code_files(repo, path, module, content) of every matching file under `root`.
 
     Files are read as bytes and kept only if they are valid UTF-8. Spark's file
     readers pass over names that begin with `_` or `.`, among them every
-    `__init__.py`; those are listed by name and read in tasks of their own.
+    `__init__.py`; those are found by `list_files` and read in tasks of their own. Without
+    `hidden` they are left out, for stores that only Spark opens.
     """
-    uri = re.sub("^(file:)?/+", "file:///", root.rstrip("/"))
-    seen = (
+    base = re.sub("^(file:)?/+", "file:/", root.rstrip("/")) if "://" not in root else root.rstrip("/")
+    base = re.sub("^file:/+", "file:/", base)
+    files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", glob)
         .load(root)
         .select(
-            F.replace(
-                F.regexp_replace("path", "^file:/+", "file:/"),
-                F.lit(re.sub("^file:/+", "file:/", uri) + "/"),
-                F.lit(""),
-            ).alias("path"),
+            F.replace(F.regexp_replace("path", "^file:/+", "file:/"), F.lit(base + "/"), F.lit("")).alias("path"),
             "content",
         )
     )
-    names = spark.range(1).mapInPandas(_hidden_names(uri, glob), "path string")
-    hidden = names.repartition("path").mapInPandas(
-        _contents(uri), "path string, content binary"
-    )
-    text = F.col("content").cast("string")
-    return (
-        seen.unionByName(hidden)
-        .where(F.is_valid_utf8(text))
-        .select(
-            F.lit(repo).alias("repo"),
-            "path",
-            module_name(F.col("path")).alias("module"),
-            text.alias("content"),
+    if hidden:
+        uri = _arrow_uri(root.rstrip("/"))
+        wanted = F.udf(lambda p: fnmatch.fnmatch(p.rsplit("/", 1)[-1], glob) and _is_hidden(p), "boolean")
+        names = list_files(spark, root).select("path").where(F.col("path").rlike(r"(^|/)[_.]|\._COPYING_$")).where(wanted("path"))
+        files = files.unionByName(
+            names.repartition("path").mapInPandas(_contents(uri), "path string, content binary")
         )
+    text = F.col("content").cast("string")
+    return files.where(F.is_valid_utf8(text)).select(
+        F.lit(repo).alias("repo"),
+        "path",
+        module_name(F.col("path")).alias("module"),
+        text.alias("content"),
     )
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ctxlens.operators import cache_plan, ranking, sessions
 from ctxlens.operators.ranking import Query
-from ctxlens.sources.corpus import read_code
+from ctxlens.sources.corpus import _arrow_uri, list_files, read_code
 from ctxlens.streaming import totals
 
 
@@ -98,3 +98,20 @@ def test_every_file_of_a_tree_is_read_once(spark, tmp_path):
         (tmp_path / n).write_text(n)
     got = sorted((r.path, r.content) for r in read_code(spark, str(tmp_path), "r").collect())
     assert got == sorted((n, n) for n in names)
+
+
+def test_files_are_listed_level_by_level(spark, tmp_path):
+    names = ["a.py", "d/e/f/g.txt", "d/.h/i", "_x=1/__init__.py", "d/e/k.py"]
+    for i, n in enumerate(names):
+        (tmp_path / n).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / n).write_bytes(b"x" * i)
+    (tmp_path / "empty").mkdir()
+    (tmp_path / "bad.py").write_bytes(b"\xff")
+    for root in (str(tmp_path), f"file://{tmp_path}/", f"file:{tmp_path}"):
+        code = {r.path for r in read_code(spark, root, "r").collect()}
+        assert code == {"a.py", "_x=1/__init__.py", "d/e/k.py"}
+    assert {r.path for r in read_code(spark, str(tmp_path), "r", hidden=False).collect()} == {"a.py", "d/e/k.py"}
+    (tmp_path / "d/loop").symlink_to(tmp_path)
+    got = {r.path: r["size"] for r in list_files(spark, str(tmp_path)).collect()}
+    assert got == {n: i for i, n in enumerate(names)} | {"bad.py": 1}
+    assert _arrow_uri("s3a://bucket/code") == "s3://bucket/code" and _arrow_uri("hdfs://n/x") == "hdfs://n/x"
