@@ -105,7 +105,7 @@ def read_code(
     """code_files(repo, path, module, content) of every matching file under `root`.
 
     Files are read as bytes and kept only if they are valid UTF-8. Spark's file
-    readers pass over names that begin with `_` or `.`, among them every
+    readers pass over empty files and names that begin with `_` or `.`, among them every
     `__init__.py`; those are found by `list_files` and read in tasks of their own. Without
     `hidden` they are left out, for stores that only Spark opens.
     """
@@ -123,8 +123,9 @@ def read_code(
     )
     if hidden:
         uri = _arrow_uri(root.rstrip("/"))
-        wanted = F.udf(lambda p: fnmatch.fnmatch(p.rsplit("/", 1)[-1], glob) and _is_hidden(p), "boolean")
-        names = list_files(spark, root).select("path").where(F.col("path").rlike(r"(^|/)[_.]|\._COPYING_$")).where(wanted("path"))
+        wanted = F.udf(lambda p, n: fnmatch.fnmatch(p.rsplit("/", 1)[-1], glob) and (n == 0 or _is_hidden(p)), "boolean")
+        passed_over = F.col("path").rlike(r"(^|/)[_.]|\._COPYING_$") | (F.col("size") == 0)
+        names = list_files(spark, root).where(passed_over).where(wanted("path", "size")).select("path")
         files = files.unionByName(
             names.repartition("path").mapInPandas(_contents(uri), "path string, content binary")
         )
