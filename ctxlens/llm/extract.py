@@ -14,6 +14,8 @@ drop an element's text, unless it holds the page's article or most of its text.
 from __future__ import annotations
 
 import re
+from collections import Counter
+from html import unescape
 from html.parser import HTMLParser
 
 import numpy as np
@@ -47,6 +49,7 @@ COMPOUNDS = set(
     "related-posts related-articles related-links comment-list comments-area comment-form ad-slot "
     "ad-container ad-wrapper cookie-bar".split()
 )
+LISTS = set("ul ol dl table thead tbody tfoot tr td th".split())
 CLOSES_P = set(
     "address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav "
     "ol p pre section table ul".split()
@@ -97,6 +100,10 @@ class Lines(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, bool, int, int, int, bool]] = []  # tag, unread, element, mark, doubtful, link
+        self.places: dict[str, list[int]] = {}  # of the open elements of each tag
+        self.blocks: list[int] = []  # places of the open elements that are not inline
+        self.lists: dict[int, int] = {}  # the element around each outermost list or table
+        self.unclosed: int | None = None  # where the first comment without an end begins
         self.lines: list[list] = [[[], 0, 0, 0]]
         self.elements = 0
         self.marks: dict[int, tuple[int, int, int]] = {}
@@ -113,25 +120,29 @@ class Lines(HTMLParser):
             self.lines[-1][2:] = [element, mark]
 
     def _pop(self, at: int) -> None:
+        for tag, *_ in self.open[at:]:
+            self.places[tag].pop()
         del self.open[at:]
+        while self.blocks and self.blocks[-1] >= at:
+            self.blocks.pop()
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if self.open and self.open[-1][0] == "head" and tag not in _IN_HEAD:
             self._pop(len(self.open) - 1)
         closes = CLOSES_SELF.get(tag) or ({"p"} if tag in CLOSES_P else set())
-        for at in range(len(self.open) - 1, -1, -1):
-            if self.open[at][0] in closes:
-                self._pop(at)
-                break
-            if self.open[at][0] not in INLINE:
-                break
+        if self.blocks and self.open[self.blocks[-1]][0] in closes:
+            self._pop(self.blocks[-1])
         unread, element, mark, doubtful, link = self._state()
         self.lines[-1][1] += 1
         if tag not in VOID:
             named = dict(attrs)
             self.elements += 1
             if tag not in INLINE and tag not in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li"):
-                element = self.elements
+                if tag not in LISTS:
+                    element = self.elements
+                elif element not in self.lists:
+                    self.lists[self.elements] = element
+                    element = self.elements
             if _doubtful(tag, named):
                 self.doubted[self.elements] = doubtful
                 doubtful = self.elements
@@ -140,10 +151,20 @@ class Lines(HTMLParser):
                 self.marks[self.elements] = (mark, top, doubtful)
                 mark = self.elements
             unread = unread or _unread(tag, named)
+            self.places.setdefault(tag, []).append(len(self.open))
+            if tag not in INLINE:
+                self.blocks.append(len(self.open))
             self.open.append((tag, unread, element, mark, doubtful, link or tag == "a"))
         if tag not in INLINE:
             self._break()
 
+    def linked(self) -> Counter:
+        """Characters of links on the lines of each region."""
+        out: Counter = Counter()
+        for pieces, _, element, mark in self.lines:
+            out[mark or element] += sum(len(text.strip()) for text, _, link in pieces if link)
+        return out
+
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
         if tag not in VOID:
@@ -151,10 +172,8 @@ class Lines(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         self.lines[-1][1] += 1
-        for at in range(len(self.open) - 1, -1, -1):
-            if self.open[at][0] == tag:
-                self._pop(at)
-                break
+        if self.places.get(tag):
+            self._pop(self.places[tag][-1])
         if tag not in INLINE:
             self._break()
 
@@ -162,6 +181,27 @@ class Lines(HTMLParser):
         """`<![` of any kind is a comment up to the next `>`, as the HTML standard has it."""
         return self.parse_bogus_comment(i, report)
 
+    def goahead(self, end: bool) -> None:
+        self.unclosed = None
+        super().goahead(end)
+
+    def parse_comment(self, i: int, report: int = 1) -> int:
+        """Looks for the end of a comment once: behind one without an end there is none."""
+        if self.unclosed is not None and i >= self.unclosed:
+            return -1
+        end = super().parse_comment(i, report)
+        if end < 0:
+            self.unclosed = i
+        return end
+
+    def read(self, page: str) -> None:
+        """The whole page. What follows the last `>` holds no whole tag and is text."""
+        last = page.rfind(">") + 1
+        self.feed(page[:last])
+        self.close()
+        if last < len(page):
+            self.handle_data(unescape(page[last:]))
+
     def handle_data(self, data: str) -> None:
         unread, element, mark, doubtful, link = self._state()
         if not unread:
@@ -214,8 +254,7 @@ def _wrappers(page: Lines) -> set[int]:
 def main_text(html: str | None, sigma: float = SIGMA) -> str:
     """The article's blocks, white space inside a block as one space, joined by one space."""
     page = Lines()
-    page.feed(html or "")
-    page.close()
+    page.read(html or "")
     read = _wrappers(page) | {0}
     lines = [
         (" ".join("".join(text for text, doubtful, _ in pieces if doubtful in read).split()), tags, mark or element)
@@ -236,9 +275,20 @@ def main_text(html: str | None, sigma: float = SIGMA) -> str:
         if outer := page.marks[m][0]:
             inside[outer][0] += inside[m][0]
             inside[outer][1] += inside[m][1]
+    places: dict[int, list[int]] = {}
+    for i, (_, _, region) in enumerate(lines):
+        places.setdefault(region, [i, i])[1] = i
     # The region with the most content is taken anyway, of equal ones an article's.
     best = max({r for _, _, r in lines}, key=lambda r: (inside[r][1], r in page.marks, -r))
-    return " ".join(text for text, _, r in lines if r == best or 2 * inside[r][1] >= inside[r][0])
+    taken = {r for r in places if r == best or 2 * inside[r][1] >= inside[r][0]}
+    # A list or table belongs to the story around it if that goes on behind it and it is no list of links.
+    linked = page.linked()
+    for r in places.keys() & page.lists.keys() - taken:
+        around = page.lists[r]
+        if around in taken and places[around][0] < places[r][0] and places[r][1] < places[around][1]:
+            if 2 * linked[r] < inside[r][0]:
+                taken.add(r)
+    return " ".join(text for text, _, r in lines if r in taken)
 
 
 def extracted(pages: DataFrame) -> DataFrame:
