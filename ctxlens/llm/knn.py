@@ -18,6 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ctxlens.llm.tables import map_rows, stage
+from ctxlens.llm.words import mix
 
 NEAREST = 5
 QUERY_BLOCK = 4096
@@ -86,7 +87,7 @@ def nearest(data: DataFrame, queries: DataFrame, k: int = NEAREST) -> DataFrame:
     asked = stage(_assigned(queries, pivots), "queries")
     # One row per pivot and vector length; lengths without a pivot share the cell -1 of their length.
     cells = summary.where(F.col("cell") >= 0).toPandas()
-    blocks = _blocks(asked.groupBy("dim", "cell").agg(F.count("*").alias("n")).where(F.col("cell") >= 0).collect())
+    blocks = _blocks(asked.groupBy("dim", "cell").agg(F.count("*").alias("n")).collect())
     routed = stage(_routed(asked, pivots, cells, blocks, k), "routes")
     wanted = routed.select("dim", "block", F.explode("cells").alias("cell")).distinct()
     splits = summary.select("dim", "cell", F.ceil(F.col("n") / SPLIT).cast("int").alias("splits"))
@@ -146,11 +147,11 @@ def _routed(asked: DataFrame, pivots, cells: pd.DataFrame, blocks, k: int) -> Da
 
     def run(batch):
         vectors, out, at = batch.column("v").to_pylist(), [], []
-        for number, v, cell in zip(
-            batch.column("id").to_pylist(), vectors, batch.column("cell").to_pylist(), strict=True
-        ):
+        # By a hash: the ids of queries may share any divisor.
+        dealt = mix(batch.column("id").to_numpy(zero_copy_only=False).view(np.uint64)).tolist()
+        for number, v, cell in zip(dealt, vectors, batch.column("cell").to_pylist(), strict=True):
             x = np.asarray(v, np.float64)
-            first, many = blocks.get((len(x), cell), (0, 1))
+            first, many = blocks[len(x), cell]
             at.append(first + number % many)
             known = by_dim.get(len(x))
             if cell < 0 or known is None:

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ctxlens.llm import negatives, private_data, spelling
+from ctxlens.llm import extract, knn, negatives, private_data, spelling
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, found string, word int"
 VECTORS = "id long, label string, v array<long>, anchor int, slot string"
@@ -288,3 +288,42 @@ def test_all_rows_of_the_query(spark):
     found = CATALOG.queries["op12_spelling_variants"](spark, folder).collect()
     assert sorted(map(tuple, found), key=str) == brute_variants(words)
 
+
+
+# Blocks of queries, and pages that take long to read.
+
+def test_queries_are_dealt_evenly_whatever_their_ids(spark, monkeypatch):
+    monkeypatch.setattr(knn, "QUERY_BLOCK", 100)
+    rng = np.random.default_rng(1)
+    rows = [(50 * i, rng.integers(0, 9, 2).tolist() if i % 4 else [1, 2, i % 7]) for i in range(4000)]
+    rows += [(-1, [7] * 5), (-2, [8] * 5)]  # a length that gets no pivot
+    made, keep = {}, knn.stage
+    monkeypatch.setattr(knn, "stage", lambda df, name: made.setdefault(name, keep(df, name)))
+    data = spark.createDataFrame(rows, "id long, v array<long>")
+    got = knn.nearest(data.where("size(v) <> 2 or id % 1000 = 0 or id < 0"), data)
+    blocks = Counter(r.block for r in made["routes"].select("block").collect())
+    assert len(blocks) >= 35 and max(blocks.values()) <= 200
+    assert {r.vec_id for r in got.where("query_id = -1").collect()} == {-2}
+
+
+def test_long_and_odd_pages_take_time_in_proportion():
+    for unit in ("<b>", "<i>", "<p>", "<div>", "</b>", "<a ", "<!--", "</", "<ul><li>", "<table><tr><td>", "<![a", "<?", "<a b='"):
+        for page in (unit * 60_000, unit * 30_000 + "<p>" * 30_000, "<b>" * 30_000 + unit * 30_000):
+            spent = time.process_time()
+            extract.main_text(page)
+            assert time.process_time() - spent < 5, unit
+
+
+@pytest.mark.parametrize("start, item, stop, end", [("<ul>", "<li>", "</li>", "</ul>"), ("<table>", "<tr><td>", "</td></tr>", "</table>")])
+def test_lists_and_tables_inside_an_unmarked_story_stay(start, item, stop, end):
+    story = "<p>" + "A paragraph of the story that goes on and on for a while. " * 3 + "</p>"
+    menu = start + "".join(f"{item}<a href=x>menu {i}</a>{stop}" for i in range(8)) + end
+    listed = start + "".join(f"{item}entry {i}{stop}" for i in range(12)) + end
+    page = f"<body>{menu}<div><h1>Title</h1>{story * 4}{listed}{story * 4}{menu}{story * 4}</div>"
+    text = extract.main_text(page)
+    assert "entry 0 entry 1" in text and "entry 11" in text and "menu" not in text
+
+
+def test_text_behind_the_last_tag_stays():
+    assert extract.main_text("<p>one</p>two &amp; <three") == "one two & <three"
+    assert extract.main_text("no tag &lt; here") == "no tag < here"
