@@ -11,7 +11,7 @@ from ctxlens import fixed_values as fv
 from ctxlens.catalog import Catalog
 from ctxlens.functions import formats, text
 from ctxlens.functions.tokens import heuristic_tokens
-from ctxlens.operators import accounting, active_files, cache_plan, messages
+from ctxlens.operators import accounting, active_files, cache_plan, messages, reuse
 from ctxlens.operators.skeletons import HEADER, line_stats, skeletons
 from ctxlens.plans.compaction import Options, compress_plain
 from ctxlens.runtime import ensure_checkpoint_dir
@@ -178,6 +178,44 @@ def cached_prefix(spark, sf):
     return cache_plan.prefix_estimate(msgs)
 
 
+# Every user turn is a request with all messages so far; later requests of some conversations edit an early one.
+GROWING = """
+asked AS (SELECT conv_id, turn AS upto, conv_id * 1000 + turn AS request_id FROM conversations WHERE role = 'user'),
+sent AS (SELECT request_id, a.conv_id, upto, c.turn, c.role,
+         c.text || CASE WHEN a.conv_id % 4 = 0 AND upto >= 4 AND c.turn = 2 THEN ' (edited)' ELSE '' END AS text
+  FROM asked a JOIN conversations c ON c.conv_id = a.conv_id AND c.turn <= upto),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY upto) AS no,
+             lag(request_id) OVER (PARTITION BY conv_id ORDER BY upto) AS previous_id FROM asked),
+sizes AS (SELECT request_id, count(*) AS n, max(length(text)) FILTER (turn = upto - 2) AS cut_off FROM sent GROUP BY 1),
+covered AS (SELECT request_id, CASE WHEN n >= 3 AND cut_off > 0 THEN n - 2 ELSE 0 END AS covered FROM sizes),
+shared AS (SELECT q.request_id, q.previous_id, coalesce(min(s.turn) FILTER (p.turn IS NULL OR p.text <> s.text OR p.role <> s.role), max(s.turn) + 1) AS common
+  FROM numbered q JOIN sent s USING (request_id) LEFT JOIN sent p ON p.request_id = q.previous_id AND p.turn = s.turn GROUP BY 1, 2),
+reused AS (SELECT q.*, n, coalesce(common, 0) AS common, least(coalesce(common, 0), coalesce(covered, 0)) AS reused
+  FROM numbered q JOIN sizes USING (request_id) LEFT JOIN shared USING (request_id)
+  LEFT JOIN covered ON covered.request_id = q.previous_id)"""
+
+
+@CATALOG.add(
+    f"""WITH {GROWING} SELECT r.request_id, conv_id AS session_id, CAST(no AS BIGINT) AS turn, r.previous_id, CAST(n AS BIGINT) AS n_messages,
+    CAST(r.common AS BIGINT) AS common_messages, CAST(reused AS BIGINT) AS reused_messages,
+    CAST((SELECT coalesce(sum(length(text)), 0) FROM sent s WHERE s.request_id = r.request_id AND s.turn < reused) // 4 AS BIGINT) AS reused_tokens
+    FROM reused r"""
+)
+def prefix_reuse(spark, sf):
+    given = ad.table(spark, sf, "conversations")
+    asked = given.where("role = 'user'").select(
+        "conv_id", F.col("turn").alias("at"), (F.col("conv_id") * 1000 + F.col("turn")).alias("request_id")
+    )
+    edited = (F.col("conv_id") % 4 == 0) & (F.col("at") >= 4) & (F.col("turn") == 2)
+    sent = asked.join(given, "conv_id").where(F.col("turn") <= F.col("at"))
+    msgs = sent.select(
+        "request_id", F.col("turn").cast("int").alias("msg_idx"), "role",
+        F.concat("text", F.when(edited, " (edited)").otherwise("")).alias("text"),
+    )
+    order = asked.select("request_id", F.col("conv_id").alias("session_id"), F.timestamp_seconds("at").alias("ts"))
+    return reuse.prefix_reuse(msgs, order)
+
+
 @CATALOG.add(
     """SELECT conv_id AS request_id,
     substr(sha256(string_agg(role || chr(31) || text, chr(31) ORDER BY turn)), 1, 16) AS session_id

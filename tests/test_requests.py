@@ -1,10 +1,11 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from ctxlens.functions import variants as V
-from ctxlens.operators import cache_plan, messages, policy, sessions
+from ctxlens.operators import cache_plan, messages, policy, reuse, sessions
 from ctxlens.operators.skeletons import HEADER
 from ctxlens.plans.compaction import Options, compact
 from ctxlens.sources.request_log import parse_bodies, read_log
@@ -236,3 +237,43 @@ def test_truthy(spark):
     df = spark.createDataFrame([(x,) for x in ["0", "[]", "{}", '""', "null", "false", "1", "[0]", '"a"']], "j string")
     got = [r[0] for r in df.select(V.truthy(F.parse_json("j"))).collect()]
     assert got == [False] * 6 + [True] * 3
+
+
+def test_prefix_reuse_of_changed_sessions(spark):
+    """Random sessions whose requests grow, repeat, are cut or edited, against a walk over the messages."""
+    rng = random.Random(9)
+    msgs, order = [], []
+    for s in ("a", "b", "hot", None):
+        texts = []
+        for turn in range(30 if s == "hot" else 6):
+            for _ in range(rng.randrange(4)):
+                texts.append((rng.choice(("user", "assistant", None)), rng.choice(("x", "xy" * 40, "", None))))
+            if texts and rng.random() < 0.3:
+                texts[rng.randrange(len(texts))] = ("user", f"changed {turn}")
+            if rng.random() < 0.1:
+                texts = texts[: len(texts) // 2]
+            r = len(order)
+            order.append((r, s, rng.choice((turn, turn, 0)) if s == "b" else turn))
+            msgs += [(r, i, *m) for i, m in enumerate(texts)]
+    held = {}
+    for r, i, role, text in msgs:
+        held.setdefault(r, []).append((role, text))
+    want = []
+    for s in ("a", "b", "hot"):
+        mine = sorted((t, r) for r, k, t in order if k == s)
+        for n, (_, r) in enumerate(mine, 1):
+            if r not in held:
+                continue
+            before = mine[n - 2][1] if n > 1 and mine[n - 2][1] in held else None
+            old = held.get(before, [])
+            common = next((i for i, (x, y) in enumerate(zip(held[r], old)) if x != y), min(len(held[r]), len(old)))  # noqa: B905
+            covered = len(old) - 2 if len(old) >= 3 and old[-3][1] else 0
+            reused = min(common, covered)
+            tokens = sum(len(t or "") for _, t in held[r][:reused]) // 4
+            want.append((r, s, n, before, len(held[r]), common, reused, tokens))
+    got = reuse.prefix_reuse(
+        spark.createDataFrame(msgs, "request_id long, msg_idx int, role string, text string"),
+        spark.createDataFrame(order, "request_id long, session_id string, s long").withColumn("ts", F.timestamp_seconds("s")),
+    )
+    assert sorted(map(tuple, got.collect())) == sorted(want, key=lambda w: w[0])
+    assert sum(w[6] for w in want) > 20
