@@ -35,9 +35,9 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents that are left, placed in sequences."""
+    """Pieces of the documents that are left with their token ids, placed in sequences."""
     apply_settings(spark)
-    return packing.pack(docs, vocabulary_path())
+    return packing.pack(docs, vocabulary_path(), with_ids=True)
 
 
 STAGES = [
