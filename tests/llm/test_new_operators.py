@@ -7,12 +7,14 @@ import re
 import time
 import zlib
 from collections import Counter
+from datetime import date
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ctxlens.llm import extract, knn, negatives, private_data, spelling
+from ctxlens.llm import extract, knn, negatives, private_data, spelling, url_lists
+from ctxlens.llm.catalog import vocabulary_path
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, found string, word int"
 VECTORS = "id long, label string, v array<long>, anchor int, slot string"
@@ -327,3 +329,49 @@ def test_lists_and_tables_inside_an_unmarked_story_stay(start, item, stop, end):
 def test_text_behind_the_last_tag_stays():
     assert extract.main_text("<p>one</p>two &amp; <three") == "one two & <three"
     assert extract.main_text("no tag &lt; here") == "no tag < here"
+
+
+def test_hosts_of_odd_urls(spark):
+    urls = {
+        "http://[2001:db8::1]:80/x": "[2001:db8::1]", "http://a@b@c.com/": "c.com", "http://u:p@Ex.COM.:8080?q@r": "ex.com",
+        "https://x.org\\@evil.net/": "x.org", "http://10.1.1.1/": "10.1.1.1", "mailto:a@b.c": None, "http:///x": None,
+        "http://": None, "": None, None: None, "http://a.b#c@d": "a.b", "http://[::1": None,
+    }
+    rows = spark.createDataFrame([(u,) for u in urls], "url string").select("url", url_lists.host(F.col("url")).alias("host"))
+    assert {r.url: r.host for r in rows.collect()} == urls
+    names = spark.createDataFrame([("10.1.1.1",), ("[2001:db8::1]",), ("a.b.c",), ("a",)], "n string")
+    got = [r.d for r in names.select(url_lists.domains(F.col("n")).alias("d")).collect()]
+    assert got == [["10.1.1.1"], ["[2001:db8::1]"], ["a.b.c", "b.c"], ["a"]]
+
+
+def test_list_entries_are_named_as_hosts_are(spark):
+    day = date(2024, 1, 2)
+    captures = spark.createDataFrame(
+        [(1, "http://www.example.com/", day), (2, "http://10.1.1.1/", day), (3, "http://[2001:db8::1]/", day)], "capture_id long, url string, day date"
+    )
+    entries = spark.createDataFrame(
+        [("Example.com.", day, True), ("1.1.1", day, True), ("[2001:DB8::1]", day, True), ("..", day, True)], "domain string, day date, listed boolean"
+    )
+    got = {r.capture_id: r.domain for r in url_lists.judged(captures, entries).collect()}
+    assert got == {1: "example.com", 2: None, 3: "[2001:db8::1]"}
+
+
+def test_sequences_are_rebuilt_from_the_pipeline(spark, tmp_path):
+    """The last stage's rows hold the token ids of every sequence, in place."""
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    rows = [(i, t, "en", "s", len(t or "")) for i, t in enumerate(["one two three " * 600, "", None, "a b", "é " * 2000])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    packed = corpus_pipeline.pack(spark, docs, "").collect()
+    tokenizer = Tokenizer.from_file(vocabulary_path())
+    sequences, texts = {}, {}
+    for r in sorted(packed, key=lambda r: (r.sequence_id, r.offset)):
+        ids = np.frombuffer(r.ids, "<u4").tolist()
+        assert len(ids) == r.length and r.offset == len(sequences.setdefault(r.sequence_id, []))
+        sequences[r.sequence_id] += ids
+        texts.setdefault(r.doc_id, []).append((r.start, ids))
+    assert all(len(s) <= 1024 for s in sequences.values())
+    for i, text, *_ in rows:
+        whole = [x for _, ids in sorted(texts[i]) for x in ids]
+        assert whole == [*tokenizer.encode(text or "", add_special_tokens=False).ids, 2]
