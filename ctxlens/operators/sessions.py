@@ -67,10 +67,21 @@ def turn_counts(
     """
     known = F.col(key).isNotNull() & F.col(ts).isNotNull()
     timed = _timed(df.where(known), ts, gap_seconds)
+    along = W.partitionBy(key).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+    runs = _slices(timed.select(key, "_us", "_slice"), key, gap_seconds).withColumn(
+        "_earlier", F.coalesce(F.sum("_n").over(along), F.lit(0))
+    )
     # Written, so that Spark can split the join where one session has most rows.
-    slices = stage(_slices(timed.select(key, "_us", "_slice"), key, gap_seconds).select(key, "_slice", "run"), "slices")
-    in_runs = timed.join(slices, [key, "_slice"]).drop("_slice")
-    numbered = ranks(in_runs, [key, "run"], ["_us", tie], "turn_count").drop("_us")
+    slices = stage(
+        runs.select(key, "_slice", "run", F.min("_earlier").over(W.partitionBy(key, "run")).alias("_before")), "slices"
+    )
+    # A row's place in its run is its place in the session less the rows before the run.
+    numbered = (
+        ranks(timed, [key], ["_us", tie], "_place")
+        .join(slices, [key, "_slice"])
+        .withColumn("turn_count", F.col("_place") - F.col("_before"))
+        .drop("_us", "_slice", "_place", "_before")
+    )
     alone = df.where(~known).withColumn("turn_count", F.lit(0).cast("bigint"))
     return numbered.unionByName(alone, allowMissingColumns=True)
 
