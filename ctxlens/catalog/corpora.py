@@ -15,6 +15,7 @@ from ctxlens.operators.ranking import Query
 from ctxlens.runtime import ensure_checkpoint_dir
 from ctxlens.sources.commit_log import read_commit_log
 from ctxlens.sources.corpus import module_name, read_code, read_vectors
+from ctxlens.sources.sinks import write_texts
 
 CATALOG = Catalog()
 AS_OF = "2024-03-01 00:00:00"
@@ -81,10 +82,9 @@ def commit_log(spark, sf):
 def code_corpus(spark, sf):
     """documents written as one text file each, a third below folders of hidden names, and read as a corpus."""
     where = f"{ensure_checkpoint_dir(spark)}/corpus-{uuid.uuid4().hex}"
-    docs = ad.table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    for name, some in (("_part", F.col("doc_id") % 3 == 0), ("part", F.col("doc_id") % 3 != 0)):
-        rows = docs.where(some).withColumnRenamed("doc_id", name)
-        rows.write.mode("append").partitionBy(name).text(where)
+    docs = ad.table(spark, sf, "documents").where(F.col("doc_id").isNotNull())
+    name = F.when(F.col("doc_id") % 3 == 0, "_part=").otherwise("part=")
+    write_texts(docs.select(F.concat(name, "doc_id").alias("folder"), F.col("text").alias("value")), where)
     files = read_code(spark, where, "demo", "part-*.txt")
     return files.select(
         F.substring_index("path", "/", 1).alias("folder"),

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from ctxlens.runtime import stage
 
+NAMES_PER_TASK = 4096
+
 
 def _is_hidden(path: str) -> bool:
     """Whether Spark's file readers pass over a file; folders of metadata they enter."""
@@ -81,9 +83,15 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
         made = stage(level.mapInArrow(_listing(uri), "path string, is_folder boolean, size bigint"), "listing")
         files = made.where(~F.col("is_folder")).select("path", "size")
         found = files if found is None else found.union(files)
-        level = made.where("is_folder").select("path").repartition("path")
-        if level.isEmpty():
+        folders = made.where("is_folder").select("path")
+        if not (n := folders.count()):
             return found
+        level = _dealt(folders, n)
+
+
+def _dealt(names: DataFrame, n: int) -> DataFrame:
+    """`n` names over as many tasks as they are worth; their few bytes alone would make one task."""
+    return names.repartition(-(-n // NAMES_PER_TASK) or 1, "path")
 
 
 def _contents(root: str):
@@ -126,9 +134,8 @@ def read_code(
         wanted = F.udf(lambda p, n: fnmatch.fnmatch(p.rsplit("/", 1)[-1], glob) and (n == 0 or _is_hidden(p)), "boolean")
         passed_over = F.col("path").rlike(r"(^|/)[_.]|\._COPYING_$") | (F.col("size") == 0)
         names = list_files(spark, root).where(passed_over).where(wanted("path", "size")).select("path")
-        files = files.unionByName(
-            names.repartition("path").mapInPandas(_contents(uri), "path string, content binary")
-        )
+        names = _dealt(names, names.count())
+        files = files.unionByName(names.mapInPandas(_contents(uri), "path string, content binary"))
     text = F.col("content").cast("string")
     return files.where(F.is_valid_utf8(text)).select(
         F.lit(repo).alias("repo"),

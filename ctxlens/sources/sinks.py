@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ctxlens.sources.corpus import _arrow_uri
 from ctxlens.sources.parts import Parts
 
 
@@ -14,6 +20,35 @@ def write_bodies(rewritten: DataFrame, path: str, mode: str = "overwrite") -> No
     rewritten.select(body.alias("value")).write.mode(mode).text(path)
 
 
+def write_texts(rows: DataFrame, root: str) -> int:
+    """rows(folder, value) as lines of text files, one for each folder and task; gives their number.
+
+    For very many small files: Spark's own writer starts processes for the rights of each
+    file in a local folder and moves it twice. A task that is run again writes its files again.
+    """
+    uri = _arrow_uri(root.rstrip("/"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = fs.FileSystem.from_uri(uri)
+        name = f"part-{TaskContext.get().partitionId():05}.txt"
+        last, out, n = None, None, 0
+        for batch in batches:
+            values = batch.column("value").cast(pa.binary()).to_pylist()
+            for folder, value in zip(batch.column("folder").to_pylist(), values, strict=True):
+                if folder != last:
+                    if out is not None:
+                        out.close()
+                    store.create_dir(f"{base}/{folder}", recursive=True)
+                    last, out, n = folder, store.open_output_stream(f"{base}/{folder}/{name}"), n + 1
+                out.write(value + b"\n")
+        if out is not None:
+            out.close()
+        yield pa.RecordBatch.from_pydict({"files": pa.array([n], pa.int64())})
+
+    laid = rows.select("folder", F.coalesce("value", F.lit("")).alias("value")).sortWithinPartitions("folder")
+    return laid.mapInArrow(run, "files bigint").agg(F.sum("files")).first()[0] or 0
+
+
 def _by_day(facts: DataFrame, ts: str, files_per_day: int) -> DataFrame:
     """Rows of a day in at most `files_per_day` tasks: few files, and no task with a whole day."""
     salt = F.pmod(F.xxhash64(*facts.columns), F.lit(files_per_day))
