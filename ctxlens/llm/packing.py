@@ -12,6 +12,8 @@ where, so each piece finds its place by its length and its rank within the lengt
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +26,7 @@ from ctxlens.llm.tables import _arrow_schema, map_rows, stage
 from ctxlens.llm.tokens import encoder
 
 SIZE = 1024
+AT_ONCE = 6 << 20
 END_ID = 2
 ROUNDS = 500
 SHARE = 0.5
@@ -48,10 +51,9 @@ def pieces(
 
     def run(batches):
         part, seen = TaskContext.get().partitionId(), np.zeros(size + 1, np.int64)
-        for batch in batches:
+        for batch, texts in _tokenized(batches, vocabulary):
             rows = {f.name: [] for f in fields}
             numbers = batch.column("doc_id").to_pylist()
-            texts = encoder(vocabulary).ids(batch.column("text").to_pylist())
             for number, ids in zip(numbers, texts, strict=True):
                 ids += end
                 total = len(ids) // 4
@@ -69,6 +71,23 @@ def pieces(
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
 
+def _tokenized(
+    batches: Iterator[pa.RecordBatch], vocabulary: str
+) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Batches with the ids of their texts; about `AT_ONCE` bytes are tokenized together."""
+    group, held = [], 0
+    for batch in chain(batches, [None]):
+        if batch is not None:
+            group.append(batch)
+            held += batch.column("text").nbytes
+        if group and (batch is None or held >= AT_ONCE):
+            texts = [x.column("text").cast(pa.large_string()) for x in group]
+            ids = iter(encoder(vocabulary).ids(pa.concat_arrays(texts)))
+            for x in group:
+                yield x, list(islice(ids, x.num_rows))
+            group, held = [], 0
+
+
 def _fullest(prices: np.ndarray, lengths: np.ndarray, size: int) -> np.ndarray:
     """Knapsack by dynamic programming: how often each length is in the dearest configuration."""
     dense = np.full(size + 1, -1.0)
